@@ -41,6 +41,32 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def common_subsequence_expr(a, b) -> Column:
+    """The same length as a column expression: one table row per character of `b`.
+
+    Interpreted, so it belongs behind a cheap test that leaves few pairs.
+    """
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    chars = F.split(a, "")
+
+    def next_row(row, ch):
+        return F.aggregate(
+            F.sequence(F.lit(1), F.length(a)),
+            F.array(F.lit(0)),
+            lambda acc, j: F.concat(
+                acc,
+                F.array(
+                    F.when(F.element_at(chars, j) == ch, F.element_at(row, j) + 1).otherwise(
+                        F.greatest(F.element_at(row, j + 1), F.element_at(acc, -1))
+                    )
+                ),
+            ),
+        )
+
+    table = F.aggregate(F.split(b, ""), F.array_repeat(F.lit(0), F.length(a) + 1), next_row)
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), F.element_at(table, -1)).otherwise(F.lit(0))
+
+
 def indel_ratio(a: str | None, b: str | None) -> float | None:
     """Indel similarity from 0 to 100: twice the common subsequence over the length sum."""
     if a is None or b is None:

@@ -37,11 +37,7 @@ def exact_terms(lexicon: DataFrame) -> DataFrame:
 
 def match_exact(dic: DataFrame, lexicon: DataFrame, allowlist: Sequence[str] = fixed.ALLOWLIST) -> DataFrame:
     """Dictionary tokens with a spelling in the exact list and none on the allow-list."""
-    forms = dic.filter(~is_allowed("word", allowlist)).select(
-        "word", F.explode(text.lower_forms("word")).alias("term")
-    )
-    hit = forms.join(exact_terms(lexicon), "term", "left_semi").select("word").distinct()
-    return hit.select("word", F.col("word").alias("matched"), F.lit("exact").alias("match_type"))
+    return scan_dictionary(dic, lexicon, allowlist, tiers=("exact",))
 
 
 def _root_pattern(root: str) -> str:
@@ -66,60 +62,61 @@ def wildcard_root(
 
 
 def match_wildcard(dic: DataFrame, roots: Sequence[str] = fixed.WILDCARD_ROOTS, allowlist: Sequence[str] = fixed.ALLOWLIST) -> DataFrame:
+    """Masked tokens and the root they stand for; no other table is involved."""
     hit = dic.filter(F.col("word").rlike(r"[*\-]")).withColumn("matched", wildcard_root("word", roots, allowlist))
     return hit.filter(F.col("matched").isNotNull()).withColumn("match_type", F.lit("wildcard"))
 
 
 def match_deelongated(dic: DataFrame, lexicon: DataFrame, allowlist: Sequence[str] = fixed.ALLOWLIST) -> DataFrame:
     """Tokens of at least four word characters whose collapsed spelling is in the exact list."""
-    norm = dic.withColumn("__norm", text.squash("word")).filter(F.length("__norm") >= fixed.STYLE_MIN_LEN)
-    norm = norm.filter(F.col("__norm").rlike(r"(.)\1"))
-    if allowlist:
-        norm = norm.filter(~F.col("__norm").isin(*allowlist))
-    forms = norm.select("word", F.posexplode(text.deelongate("__norm")).alias("__i", "term"))
-    if allowlist:
-        forms = forms.filter(~F.col("term").isin(*allowlist))
-    hit = forms.join(exact_terms(lexicon), "term", "left_semi")
-    hit = hit.groupBy("word").agg(F.min_by("term", "__i").alias("matched"))
-    return hit.withColumn("match_type", F.lit("deelongate"))
+    return scan_dictionary(dic, lexicon, allowlist, tiers=("deelongate",), check_forms=False)
 
 
-def match_fuzzy(
-    dic: DataFrame,
+def fuzzy_root(
+    norm,
     roots: Sequence[str] = fixed.STYLE_ROOTS,
-    allowlist: Sequence[str] = fixed.ALLOWLIST,
     metric: str = "indel",
     floor: float = fixed.FUZZY_MIN,
-) -> DataFrame:
-    """Best root at or above the floor; the first listed root wins ties.
+) -> Column:
+    """Best root at or above the floor, or null; the first listed root wins ties.
 
-    The indel distance is at least the edit distance, so a bounded Levenshtein test in the JVM
-    leaves only near matches for the Arrow UDF.
+    An indel distance is never below the edit distance, so the bounded built-in Levenshtein test
+    rejects nearly every root before the exact ratio is computed.
     """
-    norm = dic.withColumn("__norm", text.squash("word")).filter(F.length("__norm") >= fixed.STYLE_MIN_LEN)
-    if allowlist:
-        norm = norm.filter(~F.col("__norm").isin(*allowlist))
-    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("root")) for i, r in enumerate(roots)])
-    slack = 1 - floor / 100.0
+    norm = F.col(norm) if isinstance(norm, str) else norm
+    listed = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(r).alias("root")) for i, r in enumerate(roots)])
+    total = lambda r: F.length(norm) + F.length(r["root"])
     if metric == "levenshtein":
-        key = similarity.lev_key("word")
-        norm = norm.withColumn("__norm", key)
-        near = F.filter(listed, lambda r: similarity.lev_similarity(F.col("__norm"), r["root"]) * 100 >= floor)
+        ratio = lambda r: similarity.lev_similarity(norm, r["root"]) * 100
+        near = listed
     else:
+        ratio = lambda r: similarity.common_subsequence_expr(norm, r["root"]) * 200.0 / total(r)
+        slack = F.lit(1 - floor / 100.0)
         near = F.filter(
             listed,
-            lambda r: F.levenshtein(F.col("__norm"), r["root"])
-            <= F.floor(F.lit(slack) * (F.length("__norm") + F.length(r["root"])) + 1e-9),
+            lambda r: (F.abs(F.length(norm) - F.length(r["root"])) <= slack * total(r) + 1e-9)
+            & (F.levenshtein(norm, r["root"]) <= slack * total(r) + 1e-9),
         )
-    cand = norm.select("word", "__norm", F.explode(near).alias("r")).select("word", "__norm", "r.i", "r.root")
-    if metric == "levenshtein":
-        scored = cand.withColumn("__s", similarity.lev_similarity("__norm", "root") * 100)
-    else:
-        scored = cand.withColumn("__s", similarity.edit_ratio("__norm", "root"))
-    best = scored.filter(F.col("__s") >= floor).groupBy("word").agg(
-        F.max_by("root", F.struct("__s", -F.col("i"))).alias("matched")
-    )
-    return best.withColumn("match_type", F.lit("fuzzy"))
+    scored = F.transform(near, lambda r: F.struct(ratio(r).alias("s"), r["i"].alias("i"), r["root"].alias("root")))
+    best = F.array_max(F.filter(scored, lambda r: r["s"] >= floor))
+    return best["root"]
+
+
+def match_fuzzy(
+    dic: DataFrame,
+    roots: Sequence[str] = fixed.STYLE_ROOTS,
+    allowlist: Sequence[str] = fixed.ALLOWLIST,
+    metric: str = "indel",
+    floor: float = fixed.FUZZY_MIN,
+) -> DataFrame:
+    """Tokens of at least four word characters that come close enough to a root."""
+    norm = text.squash("word")
+    hit = dic.filter(F.length(norm) >= fixed.STYLE_MIN_LEN)
+    if allowlist:
+        hit = hit.filter(~norm.isin(*allowlist))
+    spelling = similarity.lev_key("word") if metric == "levenshtein" else norm
+    hit = hit.withColumn("matched", fuzzy_root(spelling, roots, metric, floor))
+    return hit.filter(F.col("matched").isNotNull()).withColumn("match_type", F.lit("fuzzy"))
 
 
 TIERS = ("exact", "wildcard", "deelongate", "fuzzy")
@@ -133,21 +130,56 @@ def scan_dictionary(
     style_roots: Sequence[str] = fixed.STYLE_ROOTS,
     tiers: Sequence[str] = TIERS,
     fuzzy_metric: str = "indel",
+    fuzzy_floor: float = fixed.FUZZY_MIN,
+    check_forms: bool = True,
 ) -> DataFrame:
-    """Hits (word, matched, match_type) of a distinct token table; the first tier that matches wins."""
-    dic = dic.filter(~is_allowed("word", allowlist))
-    build = {
-        "exact": lambda: match_exact(dic, lexicon, ()),
-        "wildcard": lambda: match_wildcard(dic, wildcard_roots, allowlist),
-        "deelongate": lambda: match_deelongated(dic, lexicon, allowlist),
-        "fuzzy": lambda: match_fuzzy(dic, style_roots, allowlist, fuzzy_metric),
-    }
-    found = None
-    for rank, tier in enumerate(t for t in TIERS if t in tiers):
-        part = build[tier]().withColumn("__rank", F.lit(rank))
-        found = part if found is None else found.unionByName(part)
-    best = found.groupBy("word").agg(F.min_by(F.struct("matched", "match_type"), "__rank").alias("h"))
-    return best.select("word", "h.matched", "h.match_type")
+    """Hits (word, matched, match_type) of a distinct token table; the first tier that matches wins.
+
+    One pass over the dictionary: every tier adds its candidates to one array, exploded once. The
+    exact and de-elongated candidates carry a spelling to look up, the others are already decided.
+    """
+
+    def cand(rank, order, term, matched):
+        return F.struct(
+            F.lit(rank).alias("rank"),
+            order.cast("int").alias("ord"),
+            term.cast("string").alias("term"),
+            matched.cast("string").alias("matched"),
+        )
+
+    none = F.lit(None)
+    empty = F.array().cast("array<struct<rank: int, ord: int, term: string, matched: string>>")
+    word, norm = F.col("word"), F.col("__norm")
+    base = dic.select("word", text.squash("word").alias("__norm"), text.lower_forms("word").alias("__forms"))
+    if allowlist and check_forms:
+        listed = F.array(*[F.lit(t.lower()) for t in allowlist])
+        base = base.filter(~F.arrays_overlap("__forms", listed))
+    approx = F.length(norm) >= fixed.STYLE_MIN_LEN
+    if allowlist:
+        approx = approx & ~norm.isin(*allowlist)
+
+    parts = []
+    if "exact" in tiers:
+        parts.append(F.transform("__forms", lambda f: cand(0, F.lit(0), f, word)))
+    if "wildcard" in tiers:
+        root = F.when(word.rlike(r"[*\-]"), wildcard_root("word", wildcard_roots, allowlist))
+        parts.append(F.when(root.isNotNull(), F.array(cand(1, F.lit(0), none, root))).otherwise(empty))
+    if "deelongate" in tiers:
+        forms = text.deelongate(norm)
+        if allowlist:
+            forms = F.filter(forms, lambda f: ~f.isin(*allowlist))
+        collapsed = F.transform(forms, lambda f, i: cand(2, i, f, f))
+        parts.append(F.when(approx & norm.rlike(r"(.)\1"), collapsed).otherwise(empty))
+    if "fuzzy" in tiers:
+        spelling = similarity.lev_key("word") if fuzzy_metric == "levenshtein" else norm
+        root = F.when(approx, fuzzy_root(spelling, style_roots, fuzzy_metric, fuzzy_floor))
+        parts.append(F.transform(F.filter(F.array(root), lambda r: r.isNotNull()), lambda r: cand(3, F.lit(0), none, r)))
+    rows = base.select("word", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("c")).select("word", "c.*")
+    terms = exact_terms(lexicon).select("term", F.lit(True).alias("__known"))
+    hit = rows.join(terms, "term", "left").filter(F.col("__known") | F.col("term").isNull())
+    best = hit.groupBy("word").agg(F.min_by(F.struct("rank", "matched"), F.struct("rank", "ord")).alias("h"))
+    name = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("h.rank") + 1)
+    return best.select("word", "h.matched", name.alias("match_type"))
 
 
 def scan_tokens(tokens: DataFrame, lexicon: DataFrame, col: str = "word", **kw) -> DataFrame:
@@ -318,7 +350,6 @@ def flag_with_vocab(
     lengths permit the threshold, then meets the tracks again through equi joins.
     """
     own = words.filter(~F.coalesce("is_profanity", F.lit(False))).select("track_id", "word").distinct()
-    own = own.filter(~is_allowed("word", allowlist))
     if ref_text is not None:
         literal = F.regexp_extract_all(F.lower("text"), F.lit(rf"([{text.W}']+)"), F.lit(1))
         present = ref_text.select("track_id", F.explode(F.array_distinct(literal)).alias("__lit")).distinct()
@@ -332,12 +363,12 @@ def flag_with_vocab(
         terms = terms.withColumn("__kt", key_t)
         n = F.length("__kt")
         reach = F.sequence(F.ceil(n * F.col("__need") - 1e-9).cast("int"), F.floor(n / F.col("__need") + 1e-9).cast("int"))
-        dic = dictionary(own).withColumn("__kw", key_w).withColumn("__len", F.length("__kw"))
+        dic = dictionary(words).filter(~is_allowed("word", allowlist)).withColumn("__kw", key_w).withColumn("__len", F.length("__kw"))
         terms = terms.withColumn("__len", F.explode(reach))
         near = dic.join(terms, "__len").filter(similarity.lev_similarity("__kw", "__kt") >= F.col("__need"))
     else:
         # Any spelling of the word may be the similar one, so the reach is tested per spelling.
-        dic = dictionary(own).withColumn("__fw", text.lower_forms("word"))
+        dic = dictionary(words).filter(~is_allowed("word", allowlist)).withColumn("__fw", text.lower_forms("word"))
         dic = dic.withColumn("__len", F.explode(F.array_distinct(F.transform("__fw", F.length))))
         terms = terms.withColumn("__ft", text.lower_forms("term"))
         r = F.col("__need")

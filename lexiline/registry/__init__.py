@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("sources", "text")
+AREAS = ("sources", "text", "filters", "detect")
 
 
 def all_queries():

@@ -20,7 +20,8 @@ JOINED = ("ofthe", "andthe")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return tables.spread(df) if name == "documents" else df
 
 
 def lexicon(spark: SparkSession, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Small intermediate tables still get one task per core: dictionary work is bound by CPU, not bytes.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
     # Split a skewed join side even when that costs one more exchange above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -13,6 +13,15 @@ _RAW_WORDS = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when the input has fewer splits than the session has cores.
+
+    Large tables have many splits and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def to_ms(seconds) -> Column:
     c = F.col(seconds) if isinstance(seconds, str) else seconds
     return F.round(c * 1000).cast("long")
