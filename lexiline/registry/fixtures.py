@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexiline import schemas
 from lexiline.functions import text
 from lexiline.sources import tables
 
@@ -25,8 +24,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, extra: tuple[str, ...] = ()) -> DataFrame:
-    rows = [(t, "en", "exact") for t in (*TERMS, *extra)]
-    return spark.createDataFrame(rows, schemas.LEXICON)
+    return tables.lexicon_of(spark, [(t, "en", "exact") for t in (*TERMS, *extra)])
 
 
 def mix_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +57,7 @@ def stem_words(spark: SparkSession, sf: str) -> DataFrame:
 def overlapping_words(spark: SparkSession, sf: str) -> DataFrame:
     """First pass with longer words: some overlap their successor."""
     w = flagged_words(spark, sf)
-    return w.withColumn("end_ms", F.col("start_ms") + 300 + (F.col("pos") % 4) * 200)
+    return w.withColumn("end_ms", F.col("start_ms") + 300 + (F.col("pos") % 4) * 150)
 
 
 def dense_flags(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,7 +190,7 @@ mix AS (SELECT track_id, language, word, pos::BIGINT AS pos, (pos * 400)::BIGINT
 )
 FLAGGED = MIX + f", flagged AS (SELECT *, {sq('word')} IN {in_list(TERMS)} AS is_profanity FROM mix)"
 OVERLAP = FLAGGED + (
-    ", overlap AS (SELECT track_id, language, word, pos, start_ms, start_ms + 300 + (pos % 4) * 200 AS end_ms, confidence, "
+    ", overlap AS (SELECT track_id, language, word, pos, start_ms, start_ms + 300 + (pos % 4) * 150 AS end_ms, confidence, "
     "is_profanity FROM flagged)"
 )
 DENSE = OVERLAP + """, dense AS (SELECT track_id, language, word, pos, start_ms, end_ms, confidence,
@@ -225,3 +223,9 @@ lines AS (SELECT track_id, (row_number() OVER (PARTITION BY track_id ORDER BY ln
   FROM line_starts WHERE trim(line, ' ' || chr(9) || chr(13) || chr(10)) <> '')"""
 REF = f"""ref AS (SELECT track_id, pos - (pos + 1) // 7 AS pos, {trim_edges_sql('word')} AS token FROM mix
   WHERE pos % 7 <> 6 AND {trim_edges_sql('word')} <> '')"""
+
+LINE_WORDS = LINES + f""", lw AS (SELECT track_id, line_no, time_ms, least(coalesce(lead(time_ms) OVER (PARTITION BY track_id ORDER BY line_no), time_ms + 5000) - time_ms, 5000) AS dur_ms,
+  list_filter(string_split_regex(text, '[ \\t]+'), lambda x: x <> '') AS ws FROM lines),
+lineword AS (SELECT track_id, line_no, i - 1 AS word_no, ws[i] AS raw, {trim_edges_sql('ws[i]')} AS word, round(time_ms + (i - 1) * slot)::BIGINT AS start_ms,
+  round(time_ms + (i - 1) * slot + least(slot, 350.0))::BIGINT AS end_ms, time_ms, dur_ms, len(ws) AS line_words
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i, dur_ms::DOUBLE / greatest(len(ws), 1)::DOUBLE AS slot FROM lw))"""

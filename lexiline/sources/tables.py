@@ -131,12 +131,18 @@ def lexicon_lines(lines: DataFrame, col: str, lang: str, tier: str = "exact") ->
     return kept.select(F.lower(term).alias("term"), F.lit(lang).alias("lang"), F.lit(tier).alias("tier")).distinct()
 
 
+def lexicon_of(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """A lexicon from (term, lang, tier) literals: a constant of known size in the plan."""
+    items = [F.struct(F.lit(t.lower()).alias("term"), F.lit(l).alias("lang"), F.lit(r).alias("tier")) for t, l, r in rows]
+    return spark.range(1).select(F.explode(F.array(*items)).alias("e")).select("e.*")
+
+
 def default_lexicon(spark: SparkSession, extra: list[str] | None = None) -> DataFrame:
     """The built-in extra terms of both languages and the roots, plus the caller's terms."""
     rows = [(t, "en", "exact") for t in (*fixed.EXTRA_TERMS_EN, *fixed.WILDCARD_ROOTS)]
     rows += [(t, "es", "exact") for t in fixed.EXTRA_TERMS_ES]
-    rows += [(t.lower(), "en", "exact") for t in extra or []]
-    return spark.createDataFrame(sorted(set(rows)), schemas.LEXICON)
+    rows += [(t, "en", "exact") for t in extra or []]
+    return lexicon_of(spark, sorted(set(rows)))
 
 
 CATALOG_RESULT = "STRUCT<artistName: STRING, trackName: STRING, duration: DOUBLE, plainLyrics: STRING, syncedLyrics: STRING>"
