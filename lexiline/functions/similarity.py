@@ -6,7 +6,10 @@ counterpart, so they are Arrow UDFs that the operators call on distinct pairs on
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -84,6 +87,21 @@ def edit_ratio(a, b) -> Column:
     return F.pandas_udf(ratios, DOUBLE)(a, b)
 
 
+_NOT_WORD = re.compile(r"[^\w]")
+_LAST_PUNCT = re.compile(r"[^\w']$")
+
+
+@lru_cache(maxsize=100_000)
+def spellings(word: str) -> tuple[str, ...]:
+    """What `text.lower_forms` computes, for code that already runs inside a Python task."""
+    low = word.lower()
+    base = [low, _LAST_PUNCT.sub("", low), _NOT_WORD.sub("", low), low.rstrip("'")]
+    folded = [
+        "".join(c for c in unicodedata.normalize("NFD", v) if unicodedata.category(c) != "Mn") for v in base
+    ]
+    return tuple(v for v in dict.fromkeys(base + folded) if v)
+
+
 def forms_similarity(forms_a, forms_b, floor: float = 0.0) -> float:
     """Best ratio over all pairs of spellings; anything below `floor` may be reported as 0."""
     if not set(forms_a).isdisjoint(forms_b):
