@@ -102,25 +102,24 @@ def spellings(word: str) -> tuple[str, ...]:
     return tuple(v for v in dict.fromkeys(base + folded) if v)
 
 
+@lru_cache(maxsize=500_000)
+def spelling_ratio(a: str, b: str, floor: float) -> float:
+    """Block-matching ratio of two spellings, or 0 below the floor; frequent pairs are remembered per worker."""
+    if a == b:
+        return 1.0
+    total = len(a) + len(b)
+    # Matched blocks form a common subsequence, so its length bounds the ratio from above.
+    if 2.0 * min(len(a), len(b)) < floor * total or 2.0 * common_subsequence(a, b) < floor * total:
+        return 0.0
+    ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return ratio if ratio >= floor else 0.0
+
+
 def forms_similarity(forms_a, forms_b, floor: float = 0.0) -> float:
     """Best ratio over all pairs of spellings; anything below `floor` may be reported as 0."""
     if not set(forms_a).isdisjoint(forms_b):
         return 1.0
-    best = 0.0
-    for y in forms_b:
-        matcher = SequenceMatcher(None)
-        matcher.set_seq2(y)
-        for x in forms_a:
-            bar = max(best, floor)
-            total = len(x) + len(y)
-            if 2.0 * min(len(x), len(y)) < bar * total:
-                continue
-            # Matched blocks form a common subsequence, so its length bounds the ratio from above.
-            if 2.0 * common_subsequence(x, y) < bar * total:
-                continue
-            matcher.set_seq1(x)
-            best = max(best, matcher.ratio())
-    return best if best >= floor else 0.0
+    return max((spelling_ratio(x, y, floor) for x in forms_a for y in forms_b), default=0.0)
 
 
 def similarity_udf(floor: float = 0.0):

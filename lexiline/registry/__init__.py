@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("sources", "text", "filters", "detect", "timeline", "evidence", "reports", "align")
+AREAS = ("sources", "text", "filters", "detect", "timeline", "evidence", "reports", "align", "patterns")
 
 
 def all_queries():
