@@ -65,9 +65,8 @@ class Shingler:
         self.memo: dict[str, int] = {}
         self.factors = [np.uint64(pow(ODD[0], k + 1, 1 << 64) | 1) for k in range(words)]
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Sorted distinct digests of the shingles of a whole text."""
-        words = WORD.findall((text or "").lower())
+    def in_order(self, words: list[str]) -> np.ndarray:
+        """Digests of the shingles in the order of the words; fewer words than a shingle has are one shingle."""
         if not words:
             return np.zeros(0, dtype=np.uint64)
         memo = self.memo
@@ -80,7 +79,11 @@ class Shingler:
         out = np.full(len(w) - k + 1, k, dtype=np.uint64)
         for i in range(k):
             out += mixed(w[i : i + len(out)] + np.uint64(i)) * self.factors[i]
-        return np.unique(mixed(out))
+        return mixed(out)
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Sorted distinct digests of the shingles of a whole text."""
+        return np.unique(self.in_order(WORD.findall((text or "").lower())))
 
 
 def node_of(shingles: np.ndarray) -> bytes | None:

@@ -5,8 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from lexiline.llm import chosen_path, chunk_bpe, jump_shard, lattice, orc_tokens, pieces, template_decontam, toxicity_fm
+from pyspark.sql import functions as F
+
+from lexiline.llm import (
+    chosen_path,
+    chunk_bpe,
+    jump_shard,
+    lattice,
+    license_scan,
+    orc_tokens,
+    pieces,
+    revisits,
+    template_decontam,
+    toxicity_fm,
+    window_lm,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,18 +34,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits of the crawl records derived from all pages, with merged headers as one text."""
+    found = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.array_sort(F.transform("headers", lambda h: F.concat(F.lower(h["name"]), F.lit(": "), h["value"]))), "; ")
+    return found.select("record_id", "url_key", "outcome", "response_id", headers.alias("headers"), "payload_digest")
+
+
 @query
 def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by jump consistent hashing of doc_id."""
     return jump_shard.layout(table(spark, sf_dir, "documents"), 24)
 
 
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.default_templates(spark))
+
+
 @query
 def op4_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return chunk_bpe.digests(table(spark, sf_dir, "documents"), pieces.vocabulary("word_bpe_49k.json"))
 
 
+@query
+def op5_window_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return window_lm.score(docs, window_lm.train(docs))
+
+
 @query
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places and digests of all documents' ids, read back from ORC files."""
