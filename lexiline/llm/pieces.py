@@ -1,7 +1,7 @@
 """Byte-pair encoding of whole texts piece by piece, with ids equal to the tokenizers library's on the whole text.
 
-A text is cut before a space that follows a non-space, and around plain punctuation and line ends next to Latin
-letters. Both public vocabularies end a word there, no normalisation step reaches over such a place and no special
+A text is cut before a space that follows a non-space (`encode`), and for `cut` also around plain punctuation and line
+ends next to Latin letters. Both public vocabularies end a word there, no normalisation step reaches over such a place and no special
 token is split, so pieces can be encoded on their own. Pieces recur in a task; the library encodes each of
 them once while the memo holds it.
 
@@ -19,7 +19,9 @@ LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 PIECE = re.compile(rf" ?[{LATIN}]+(?=[ ,.;:!?\n]|\Z)|[,.;:!?]+(?=[ \n]|\Z)|\n(?=[{LATIN}])| ?[^ ]+")
 ODD = re.compile(r"\s |\s\Z")
 CUT = re.compile(r"(?<=\S)(?= )")
-MEMO = 400_000  # pieces that a worker remembers
+WORD = re.compile(rf" ?[{LATIN}]+\Z")
+MEMO = 1_000_000  # pieces that a worker remembers, about 200 bytes each
+TOGETHER = 4000  # new pieces that are encoded as one text
 LONG = 80  # longer pieces are not remembered
 
 
@@ -52,8 +54,15 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
         self.memo: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        # Tokens that begin (after a space) or end a word, by the marks of the two kinds of vocabularies.
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.edge = np.zeros(size, dtype=bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.edge[i] = token.endswith(self.suffix) if self.suffix else token.startswith("\u0120")
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text as the library gives them."""
@@ -61,6 +70,27 @@ class Encoder:
             return []
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(self, words: list[str]) -> list[bytes]:
+        """Packed ids of many words, each after a space: encoded as one text and parted at the marks of words.
+
+        Where the marks do not give one part per word, the words are encoded one by one.
+        """
+        out = []
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            packed = self.raw([" " + " ".join(part)])[0]
+            edges = np.flatnonzero(self.edge[self.unpack(packed)]) * np.dtype(self.dtype).itemsize
+            if self.suffix:
+                ends = (edges + np.dtype(self.dtype).itemsize).tolist()
+                bounds = [0, *ends]
+            else:
+                bounds = [*edges.tolist(), len(packed)]
+            if len(bounds) != len(part) + 1 or bounds[0] != 0 or bounds[-1] != len(packed):
+                out += self.raw([f" {w}" for w in part])
+            else:
+                out += [packed[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        return out
+
     def unpack(self, ids: bytes) -> np.ndarray:
         return np.frombuffer(ids, dtype=self.dtype)
 
@@ -73,15 +103,40 @@ class Encoder:
         if len(memo) > MEMO:
             memo.clear()
             new = list(set().union(*pieces))
-        found = dict(zip(new, self.raw(new), strict=True))
+        plain = [p for p in new if p[0] == " " and len(p) <= LONG and WORD.match(p)]
+        rest = list(set(new).difference(plain))
+        found = dict(zip(rest, self.raw(rest), strict=True))
+        memo.update(zip(plain, self.together([p[1:] for p in plain]), strict=True))
         memo.update((p, i) for p, i in found.items() if len(p) <= LONG)
-        return memo if all(len(p) <= LONG for p in new) else {**memo, **found}
+        return memo if all(len(p) <= LONG for p in rest) else {**memo, **found}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each whole text."""
-        pieces = [cut(t) for t in texts]
-        memo = self.learn(pieces)
-        return [b"".join([memo[p] for p in ps]) for ps in pieces]
+        odd = [i for i, t in enumerate(texts) if ODD.search(t)]
+        out = dict(zip(odd, self.raw([texts[i] for i in odd]), strict=True))
+        first, words, sizes = [], [], []
+        for i, t in enumerate(texts):
+            if i not in out:
+                head, *tail = t.split(" ")
+                first.append(head)
+                words += tail
+                sizes.append(len(tail))
+        known = self.spaced
+        if len(known) > MEMO:
+            known.clear()
+        new = list(set(words).difference(known))
+        known.update(zip(new, self.together(new), strict=True))
+        found = list(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        heads, at, k = self.raw(first), 0, 0
+        for i in range(len(texts)):
+            if i not in out:
+                out[i] = heads[k] + b"".join(found[at : at + sizes[k]])
+                at += sizes[k]
+                k += 1
+        return [out[i] for i in range(len(texts))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
