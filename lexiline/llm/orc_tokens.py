@@ -58,7 +58,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, partitions: int | None =
     (
         ordered.select("doc_id", "text")
         .mapInArrow(run, SCHEMA)
-        .write.option("orc.compress", "ZSTD")
+        .write.option("orc.compress", "LZ4")
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", ROWS_PER_INDEX)

@@ -117,10 +117,10 @@ class Encoder:
         first, words, sizes = [], [], []
         for i, t in enumerate(texts):
             if i not in out:
-                head, *tail = t.split(" ")
-                first.append(head)
-                words += tail
-                sizes.append(len(tail))
+                parts = t.split(" ")
+                first.append(parts[0])
+                words += parts
+                sizes.append(len(parts))
         known = self.spaced
         if len(known) > MEMO:
             known.clear()
@@ -133,7 +133,7 @@ class Encoder:
         heads, at, k = self.raw(first), 0, 0
         for i in range(len(texts)):
             if i not in out:
-                out[i] = heads[k] + b"".join(found[at : at + sizes[k]])
+                out[i] = heads[k] + b"".join(found[at + 1 : at + sizes[k]])
                 at += sizes[k]
                 k += 1
         return [out[i] for i in range(len(texts))]
