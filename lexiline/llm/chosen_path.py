@@ -65,22 +65,38 @@ class Shingler:
         self.memo: dict[str, int] = {}
         self.factors = [np.uint64(pow(ODD[0], k + 1, 1 << 64) | 1) for k in range(words)]
 
-    def in_order(self, words: list[str]) -> np.ndarray:
-        """Digests of the shingles in the order of the words; fewer words than a shingle has are one shingle."""
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
+    def digests(self, words: list[str]) -> np.ndarray:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
         new = set(words).difference(memo)
         memo.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        w = np.array([memo[x] for x in words], dtype=np.uint64)
-        k = min(self.words, len(w))
-        out = np.full(len(w) - k + 1, k, dtype=np.uint64)
+        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+
+    def rolled(self, w: np.ndarray, k: int) -> np.ndarray:
+        out = np.full(max(0, len(w) - k + 1), k, dtype=np.uint64)
         for i in range(k):
             out += mixed(w[i : i + len(out)] + np.uint64(i)) * self.factors[i]
         return mixed(out)
 
+    def in_order(self, words: list[str]) -> np.ndarray:
+        """Digests of the shingles in the order of the words; fewer words than a shingle has are one shingle."""
+        return self.rolled(self.digests(words), min(self.words, len(words))) if words else np.zeros(0, dtype=np.uint64)
+
+    def batch(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """`in_order` of several texts, one after the other, and the bounds of each."""
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        w = self.digests([x for t in texts for x in t])
+        rolled = self.rolled(w, self.words)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        counts = np.where(sizes >= self.words, sizes - self.words + 1, np.minimum(sizes, 1))
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(starts[:-1] - bounds[:-1], counts) + np.arange(bounds[-1])
+        out = rolled[np.minimum(at, len(rolled) - 1)] if len(rolled) else np.zeros(bounds[-1], dtype=np.uint64)
+        for i in np.flatnonzero((sizes > 0) & (sizes < self.words)):
+            out[bounds[i]] = self.rolled(w[starts[i] : starts[i + 1]], int(sizes[i]))[0]
+        return out, bounds
+
     def of(self, text: str | None) -> np.ndarray:
         """Sorted distinct digests of the shingles of a whole text."""
         return np.unique(self.in_order(WORD.findall((text or "").lower())))
@@ -104,8 +120,9 @@ def sets(docs: DataFrame, threshold: float, recall: float, words: int) -> DataFr
         shingler = Shingler(words)
         for b in batches:
             nodes, sizes, picks = [], [], []
-            for text in b.column("text").to_pylist():
-                s = shingler.of(text)
+            flat, bounds = shingler.batch([WORD.findall((t or "").lower()) for t in b.column("text").to_pylist()])
+            for at, end in zip(bounds[:-1], bounds[1:], strict=True):
+                s = np.unique(flat[at:end])
                 nodes.append(node_of(s))
                 sizes.append(len(s))
                 picks.append(np.unique(np.concatenate([picked(s, seed, 1 / threshold) ^ np.uint64(seed) for seed in seeds])).view(np.int64) if len(s) else [])
@@ -125,7 +142,8 @@ def shingles_of(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            found = [shingler.of(t) for t in b.column("text").to_pylist()]
+            flat, bounds = shingler.batch([WORD.findall((t or "").lower()) for t in b.column("text").to_pylist()])
+            found = [np.unique(flat[at:end]) for at, end in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([node_of(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "value"]
             )

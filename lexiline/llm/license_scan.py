@@ -104,26 +104,35 @@ class Index:
                 width *= 2
         return out
 
-    def scan(self, words: list[str]) -> list[tuple[str, float, int, int]]:
-        """(template, containment, first word, last word) of the templates that a text holds."""
-        if not words or not self.keys:
-            return []
-        s = self.shingler.in_order(words)
-        candidates: set[tuple[int, int]] = set()
-        for width, bands in self.bands(s, set(self.keys)).items():
+    def scan(self, texts: list[list[str]]) -> list[list[tuple[str, float, int, int]]]:
+        """(template, containment, first word, last word) of the templates that each of a few texts holds.
+
+        Windows run over the texts as if they were one; a window over a border is looked at in both texts.
+        """
+        s, bounds = self.shingler.batch(texts)
+        candidates: set[tuple[int, int, int]] = set()
+        for width, bands in self.bands(s, set(self.keys)).items() if self.keys else ():
             found = self.keys[width]
             for band, (starts, keys) in enumerate(bands):
                 for i in np.flatnonzero(self.flags[width][band][keys >> np.uint32(16)]):
-                    candidates.update((t, int(starts[i]) - at) for t, at in found.get(int(keys[i]) * BANDS + band, ()))
-        best: dict[int, tuple] = {}
-        for t, start in sorted(candidates):
+                    for t, at in found.get(int(keys[i]) * BANDS + band, ()):
+                        ends = np.searchsorted(bounds, [starts[i], starts[i] + width - 1], side="right") - 1
+                        candidates.update((d, t, int(starts[i]) - at) for d in ends.tolist())
+        best: dict[tuple[int, int], tuple] = {}
+        for d, t, start in sorted(candidates):
+            if d >= len(texts):
+                continue
             spare = max(1, self.lengths[t] // 4)
-            a, z = max(0, start - spare), min(len(s), start + self.lengths[t] + spare)
+            a, z = max(int(bounds[d]), start - spare), min(int(bounds[d + 1]), start + self.lengths[t] + spare)
             inside = np.flatnonzero(np.isin(s[a:z], self.sets[t]))
             share = len(np.unique(s[a:z][inside])) / len(self.sets[t])
-            if share >= CONTAINMENT and (t not in best or share > best[t][0]):
-                best[t] = (share, a + int(inside[0]), min(a + int(inside[-1]) + WORDS, len(words)) - 1)
-        return [(self.names[t], *b) for t, b in sorted(best.items())]
+            if share >= CONTAINMENT and ((d, t) not in best or share > best[d, t][0]):
+                first, last = a - int(bounds[d]) + int(inside[0]), a - int(bounds[d]) + int(inside[-1])
+                best[d, t] = (share, first, min(last + WORDS, len(texts[d])) - 1)
+        out: list[list] = [[] for _ in texts]
+        for (d, t), b in sorted(best.items()):
+            out[d].append((self.names[t], *b))
+        return out
 
 
 def default_templates(spark) -> DataFrame:
@@ -140,7 +149,7 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(given)
         for b in batches:
-            found = [index.scan(WORD.findall((t or "").lower())) for t in b.column("text").to_pylist()]
+            found = index.scan([WORD.findall((t or "").lower()) for t in b.column("text").to_pylist()])
             rows = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
             flat = [x for f in found for x in f]
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
