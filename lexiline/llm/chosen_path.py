@@ -2,11 +2,12 @@
 
 A document is the set of its `WORDS`-word shingles (64-bit digests); shorter texts are one shingle. Documents with equal
 sets are one node. In each run a shared hash picks about 1 / `threshold` of a set's shingles, and the node goes to
-one bucket per pick: two sets of the threshold share at least one pick on average, so a run misses a pair with
+one bucket per pick: two sets at the threshold share at least one pick on average, so a run misses a pair with
 a chance of 1/e at most, and `runs_for` repeats runs until the target recall. A bucket of more than `LARGE` nodes is split
-again by shingles picked with a hash of its path, unless its sets are alike on average (`DENSE`); alike sets and small
-buckets are compared by exact Jaccard similarity, in tiles. Buckets that are still large after `DEPTH` splits
-are compared all the same: no bucket is capped or dropped.
+again by shingles picked with a hash of its path, unless its sets are alike on average (`DENSE`); sets that share less
+than the threshold get fewer with each split. Alike sets and small buckets are compared by exact Jaccard
+similarity, in tiles. Buckets that are still large after `DEPTH` splits are compared all the same: no bucket is
+capped or dropped.
 
 `join` returns one row per document: doc_id, n_shingles, n_links (other documents at the threshold, copies included) and
 class_id (smallest doc_id that links reach).
@@ -32,17 +33,17 @@ from lexiline.llm.common import WORD, classes, link, small_batches, stored
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-LARGE = 400
+SPARE = 1.25  # runs more than unsplit buckets need, for pairs that are lost in splits
+LARGE = 100
 DENSE = 0.5
-SPLIT = 3.0  # picks at a split, as a multiple of those of a run
-SAMPLE = 32  # shingles a set lends to the estimate of likeness
+PROBES = 24, 200  # shingles and sets of a bucket that tell how alike its sets are
 DEPTH = 8
 MEMO = 400_000
 ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def runs_for(recall: float) -> int:
-    return max(1, math.ceil(math.log(1 / (1 - recall))))
+    return max(1, math.ceil(SPARE * math.log(1 / (1 - recall))))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -97,6 +98,11 @@ class Shingler:
             out[bounds[i]] = self.rolled(w[starts[i] : starts[i + 1]], int(sizes[i]))[0]
         return out, bounds
 
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """`of` for several texts."""
+        flat, bounds = self.batch([WORD.findall((t or "").lower()) for t in texts])
+        return [np.unique(flat[at:end]) for at, end in zip(bounds[:-1], bounds[1:], strict=True)]
+
     def of(self, text: str | None) -> np.ndarray:
         """Sorted distinct digests of the shingles of a whole text."""
         return np.unique(self.in_order(WORD.findall((text or "").lower())))
@@ -109,81 +115,90 @@ def node_of(shingles: np.ndarray) -> bytes | None:
 def picked(shingles: np.ndarray, seed: int, expected: float) -> np.ndarray:
     """Hashes of the shingles that a shared hash picks, about `expected` of the set."""
     h = mixed(shingles ^ np.uint64(seed))
-    return h if expected >= len(h) else h[h < np.uint64(int(2.0**64 * (expected / len(h))))]
+    return h if expected >= len(h) else h[h < limit(expected, len(h))]
+
+
+def limit(expected: float, size: int) -> np.uint64:
+    return np.uint64(int(2.0**64 * (expected / size)))
 
 
 def sets(docs: DataFrame, threshold: float, recall: float, words: int) -> DataFrame:
     """(doc_id, tk, node, n, picks): the set of each document and its buckets in all runs; `tk` is a digest of the text."""
-    seeds = [int(x) for x in mixed(np.arange(1, runs_for(recall) + 1, dtype=np.uint64) * np.uint64(ODD[3]))]
+    seeds = mixed(np.arange(1, runs_for(recall) + 1, dtype=np.uint64) * np.uint64(ODD[3]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            nodes, sizes, picks = [], [], []
-            flat, bounds = shingler.batch([WORD.findall((t or "").lower()) for t in b.column("text").to_pylist()])
-            for at, end in zip(bounds[:-1], bounds[1:], strict=True):
-                s = np.unique(flat[at:end])
-                nodes.append(node_of(s))
-                sizes.append(len(s))
-                picks.append(np.unique(np.concatenate([picked(s, seed, 1 / threshold) ^ np.uint64(seed) for seed in seeds])).view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("tk"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(picks, pa.list_(pa.int64()))],
-                ["doc_id", "tk", "node", "n", "picks"],
-            )
+            found = shingler.sets(b.column("text").to_pylist())
+            sizes = np.array([len(s) for s in found], dtype=np.int64)
+            flat = np.concatenate(found) if len(found) else np.zeros(0, np.uint64)
+            owner = np.repeat(np.arange(len(found)), sizes)
+            share = np.array([limit(1 / threshold, n) if n > 1 / threshold else 0 for n in sizes.tolist()], dtype=np.uint64)
+            bound, all_of = share[owner], (sizes <= 1 / threshold)[owner]
+            who, keys = [], []
+            for seed in seeds:
+                h = (flat ^ seed) * np.uint64(ODD[1])
+                h ^= h >> np.uint64(32)
+                h *= np.uint64(ODD[2])
+                at = np.flatnonzero((h < bound) | all_of)
+                who.append(owner[at])
+                keys.append(h[at] ^ seed)
+            who, keys = np.concatenate(who), np.concatenate(keys)
+            order = np.argsort(who, kind="stable")
+            ends = np.searchsorted(who[order], np.arange(len(found) + 1)).astype(np.int32)
+            picks = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[order].view(np.int64)))
+            nodes = pa.array([node_of(s) for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tk"), nodes, pa.array(sizes), picks], ["doc_id", "tk", "node", "n", "picks"])
 
     small_batches(docs.sparkSession, 500)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
     return source.mapInArrow(run, "doc_id long, tk binary, node binary, n long, picks array<long>")
 
 
-def shingles_of(texts: DataFrame, words: int) -> DataFrame:
-    """(node, value) of stored texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for b in batches:
-            flat, bounds = shingler.batch([WORD.findall((t or "").lower()) for t in b.column("text").to_pylist()])
-            found = [np.unique(flat[at:end]) for at, end in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "value"]
-            )
-
-    return texts.select("text").mapInArrow(run, "node binary, value array<long>")
-
+def split(members: DataFrame, texts: DataFrame, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """Keys of large buckets whose sets are alike, and the buckets below the others: (key), (key, node, cost).
 
-def split(members: DataFrame, values: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Keys of large buckets whose sets are alike, and the buckets below the others: (key), (key, parent, node, cost)."""
+    `members` (key, node, cost, size) come with the size of their bucket, `texts` (node, text) holds a text of each set.
+    """
+    shingles, sets_probed = PROBES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
         for b in batches:
-            keys, nodes, value = b.column("key").to_pylist(), b.column("node"), b.column("value").to_pylist()
-            at, kinds, hashes = [], [], []
-            for i, (key, v) in enumerate(zip(keys, value, strict=True)):
-                s = np.array(v, dtype=np.int64).view(np.uint64)
-                seed = int(mixed(np.array([key], dtype=np.int64).view(np.uint64) ^ np.uint64(ODD[4]))[0])
-                children = picked(s, seed, SPLIT / threshold)
-                probe = picked(s, seed ^ ODD[2], SAMPLE)
-                at += [i] * (len(children) + len(probe))
-                kinds += [1] * len(children) + [0] * len(probe)
-                hashes += [children ^ np.uint64(seed), probe]
+            at, parents, kinds, hashes = [], [], [], []
+            found = shingler.sets(b.column("text").to_pylist())
+            for i, (s, node, buckets) in enumerate(zip(found, b.column("node").to_pylist(), b.column("buckets").to_pylist(), strict=True)):
+                for bucket in buckets:
+                    key = bucket["key"]
+                    seed = int(mixed(np.array([key], dtype=np.int64).view(np.uint64) ^ np.uint64(ODD[4]))[0])
+                    parts = [picked(s, seed, 1 / threshold) ^ np.uint64(seed)]
+                    if xxhash.xxh3_64_intdigest(node, seed=seed) < sets_probed / bucket["size"] * 2.0**64:
+                        parts.append(picked(s, seed ^ ODD[2], shingles))
+                    for kind, h in enumerate(parts):
+                        at += [i] * len(h)
+                        parents += [key] * len(h)
+                        kinds += [kind] * len(h)
+                        hashes.append(h)
             rows = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(hashes).view(np.int64) if hashes else [], pa.int64()),
-                    b.column("key").take(rows),
-                    nodes.take(rows),
+                    pa.array(parents, pa.int64()),
+                    b.column("node").take(rows),
                     b.column("cost").take(rows),
                     pa.array(kinds, pa.int32()),
                 ],
-                ["key", "parent", "node", "cost", "kind"],
+                ["key", "parent", "node", "cost", "probe"],
             )
 
-    rows = stored(members.join(values, "node").select("key", "node", "cost", "value").mapInArrow(run, "key long, parent long, node binary, cost long, kind int"))
-    shares = rows.filter("kind = 0").groupBy("parent", "key").agg(F.count("*").cast("double").alias("c"))
-    size = members.groupBy(F.col("key").alias("parent")).agg(F.count("*").cast("double").alias("m"))
-    alike = shares.groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("c").alias("c")).join(size, "parent")
-    dense = alike.filter(F.col("cc") >= DENSE * F.col("c") * F.col("m")).select(F.col("parent").alias("key"))
-    below = rows.filter("kind = 1").join(dense.select(F.col("key").alias("parent")), "parent", "left_anti")
+    by_node = members.groupBy("node", "cost").agg(F.collect_list(F.struct("key", "size")).alias("buckets"))
+    rows = stored(by_node.join(texts, "node").select("node", "cost", "buckets", "text").mapInArrow(run, "key long, parent long, node binary, cost long, probe int"))
+    probes = rows.filter("probe = 1")
+    shares = probes.groupBy("parent", "key").agg(F.count("*").cast("double").alias("c"))
+    probed = probes.select("parent", "node").distinct().groupBy("parent").agg(F.count("*").cast("double").alias("m"))
+    likeness = shares.groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("c").alias("c")).join(probed, "parent")
+    dense = likeness.filter(F.col("cc") >= DENSE * F.col("c") * F.col("m")).select(F.col("parent").alias("key"))
+    below = rows.filter("probe = 0").join(dense.select(F.col("key").alias("parent")), "parent", "left_anti")
     return dense, below.select("key", "node", "cost")
 
 
@@ -222,29 +237,57 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     return joined(docs, threshold, recall, words).select("doc_id", "n_shingles", "n_links", "class_id")
 
 
+def loader(texts: DataFrame, words: int):
+    """Shingle sets for rows that have a node, from `texts` (node, text, weight): each text is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in batches:
+            found = shingler.sets(b.column("text").to_pylist())
+            places = b.column("rows").to_pylist()
+            at = [i for i, p in enumerate(places) for _ in p]
+            flat = [r for p in places for r in p]
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[c] for r in flat], kind) for c, kind in (("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()))]
+                + [b.column(c).take(rows) for c in ("node", "cost", "keys", "weight")]
+                + [pa.array([found[i].view(np.int64) for i in at], pa.list_(pa.int64()))],
+                ["key", "i", "j", "block", "node", "cost", "keys", "weight", "value"],
+            )
+
+    def load(wanted: DataFrame) -> DataFrame:
+        places = wanted.groupBy("node", "cost", "keys").agg(F.collect_list(F.struct("key", "i", "j", "block")).alias("rows"))
+        shape = "key long, i int, j int, block int, node binary, cost long, keys array<long>, weight long, value array<long>"
+        return places.join(texts, "node").select("node", "cost", "keys", "weight", "rows", "text").mapInArrow(run, shape)
+
+    return load
+
+
 def joined(docs: DataFrame, threshold: float, recall: float, words: int) -> DataFrame:
     rows = stored(sets(docs, threshold, recall, words))
-    nodes = rows.filter("node is not null").groupBy("node").agg(
-        F.count("*").alias("weight"), F.min("doc_id").alias("doc_id"), F.min("tk").alias("tk"), F.first("n").alias("cost"), F.first("picks").alias("picks")
-    )
-    members = stored(several(nodes.select("node", "cost", F.explode("picks").alias("key"))))
-    candidates = members.select("node").distinct().join(rows.groupBy("node").agg(F.min("tk").alias("tk")), "node")
-    text_keys = candidates.select("tk").distinct()
-    texts = stored(docs.select(text_key().alias("tk"), "text").join(text_keys, "tk", "left_semi").dropDuplicates(["tk"]))
-    values = shingles_of(texts, words)
+    known = rows.filter("node is not null")
+    weights = stored(known.groupBy("node").agg(F.count("*").alias("weight"), F.min("doc_id").alias("first_id"), F.min("tk").alias("tk")))
+    picks = known.select("node", F.col("n").alias("cost"), "picks").dropDuplicates(["node"]).select("node", "cost", F.explode("picks").alias("key"))
+    members = stored(several(picks))
+    candidates = members.select("node").distinct().join(weights, "node").select("node", "weight", "tk")
+    texts = docs.select(text_key().alias("tk"), "text").join(candidates, "tk").dropDuplicates(["tk"]).select("node", "weight", "text")
+    texts = stored(texts)
     leaves = members.filter(F.col("size") <= LARGE).select("key", "node", "cost")
-    large = members.filter(F.col("size") > LARGE).select("key", "node", "cost")
+    large = members.filter(F.col("size") > LARGE)
     for _ in range(DEPTH):
         if large.isEmpty():
             break
-        dense, below = split(large, values, threshold)
-        leaves = leaves.unionAll(large.join(dense, "key", "left_semi"))
+        dense, below = split(large, texts.select("node", "text"), threshold, words)
+        leaves = leaves.unionAll(large.join(dense, "key", "left_semi").select("key", "node", "cost"))
         members = stored(several(below))
         leaves = leaves.unionAll(members.filter(F.col("size") <= LARGE).select("key", "node", "cost"))
-        large = members.filter(F.col("size") > LARGE).select("key", "node", "cost")
-    leaves = leaves.unionAll(large)
-    weights = rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("doc_id").alias("first_id"))
-    found = link(leaves, values.join(weights.select("node", "weight"), "node"), alike(threshold), "array<long>")
+        large = members.filter(F.col("size") > LARGE)
+    leaves = leaves.unionAll(large.select("key", "node", "cost"))
+
+    def compatible(sizes: np.ndarray) -> np.ndarray:
+        return np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
+
+    found = link(leaves, loader(texts, words), alike(threshold), compatible)
     classed = classes(found, weights).join(weights, "node")
     firsts = classed.groupBy("component").agg(F.min("first_id").alias("class_id"))
     by_node = classed.join(firsts, "component").select("node", (F.col("links") + F.col("weight") - 1).alias("n_links"), "class_id", F.lit(True).alias("known"))

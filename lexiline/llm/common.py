@@ -110,11 +110,17 @@ BLOCK_ROWS = 1024
 BLOCK_COST = 400_000
 
 
-def link(memberships: DataFrame, values: DataFrame, linked: Callable[[list], np.ndarray], value_type: str) -> DataFrame:
+def link(
+    memberships: DataFrame,
+    load: Callable[[DataFrame], DataFrame],
+    linked: Callable[[list], np.ndarray],
+    possible: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
     """Links inside buckets: (node, links, root) per node and tile that holds a link of it.
 
-    `memberships` (key long, node binary, cost long) puts nodes into buckets, `values` (node, weight long, value) has one
-    row per node, and `linked(values)` tells for a few nodes which pairs are linked. A pair that shares several buckets
+    `memberships` (key long, node binary, cost long) puts nodes into buckets, `load` adds weight (long) and value (an array)
+    to rows that have a node, and `linked(values)` tells for a few nodes which pairs are linked; `possible(costs)` rules out
+    pairs by their costs alone. A pair that shares several buckets
     counts in the first of them alone. Buckets of equal members are taken once. A large bucket is cut into blocks, and each
     pair of blocks is a task of bounded size. Values travel only to tiles that have a pair to compare. `links` is
     the weight of linked nodes, `root` the first node of the linked part inside the tile.
@@ -126,19 +132,21 @@ def link(memberships: DataFrame, values: DataFrame, linked: Callable[[list], np.
     )
     once = sizes.filter("n > 1").groupBy("n", "total", "x", "lo", "hi").agg(F.min("key").alias("key"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_COST)).cast("int")
-    live = stored(memberships.join(once.select("key", blocks.alias("blocks")), "key").select("key", "node", "blocks"))
+    live = stored(memberships.join(once.select("key", blocks.alias("blocks")), "key").select("key", "node", "cost", "blocks"))
     keys = live.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     tiles = (
         live.join(keys, "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "keys")
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "cost", "keys")
     )
-    shape = "key long, i int, j int, block int, node binary, keys array<long>"
+    shape = "key long, i int, j int, block int, node binary, cost long, keys array<long>"
 
     def open_pairs(t: pa.Table, a: int, z: int, key: int, keys: list[np.ndarray]) -> np.ndarray:
         blocks = t.column("block").to_numpy()[a:z]
         out = ~covered(keys, key)
+        if possible is not None:
+            out &= possible(t.column("cost").to_numpy()[a:z])
         np.fill_diagonal(out, False)
         if t.column("i")[a].as_py() != t.column("j")[a].as_py():
             out &= blocks[:, None] != blocks[None, :]
@@ -184,8 +192,8 @@ def link(memberships: DataFrame, values: DataFrame, linked: Callable[[list], np.
                 )
 
     order = ["key", "i", "j"]
-    wanted = tiles.repartition(*order).sortWithinPartitions(*order).mapInArrow(needed, shape)
-    loaded = wanted.join(values, "node").select(*order, "block", "node", "keys", "weight", F.col("value").cast(value_type).alias("value"))
+    wanted = stored(tiles.repartition(*order).sortWithinPartitions(*order).mapInArrow(needed, shape))
+    loaded = load(wanted).select(*order, "block", "node", "cost", "keys", "weight", "value")
     return loaded.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "node binary, links long, root binary")
 
 

@@ -146,7 +146,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
         F.count("*").alias("weight"), F.min("vec_id").alias("first_id"), F.first("unit").alias("value"), F.first("keys").alias("keys")
     )
     members = nodes.select(F.explode("keys").alias("key"), "node", F.size("value").cast("long").alias("cost"))
-    found = link(members, nodes.select("node", "weight", "value"), close(threshold), "array<double>")
+    found = link(members, lambda wanted: wanted.join(nodes.select("node", "weight", "value"), "node"), close(threshold))
     classed = classes(found, nodes).join(nodes.select("node", "weight", "first_id"), "node")
     firsts = classed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_node = classed.join(firsts, "component").select("node", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id")
