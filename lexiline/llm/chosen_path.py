@@ -156,7 +156,7 @@ def sets(docs: DataFrame, threshold: float, recall: float, words: int) -> DataFr
 
 
 def split(members: DataFrame, texts: DataFrame, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
-    """Keys of large buckets whose sets are alike, and the buckets below the others: (key), (key, node, cost).
+    """Keys of large buckets whose sets are alike, and the buckets below the others: (key), (key, node, cost, size).
 
     `members` (key, node, cost, size) come with the size of their bucket, `texts` (node, text) holds a text of each set.
     """
@@ -198,8 +198,9 @@ def split(members: DataFrame, texts: DataFrame, threshold: float, words: int) ->
     probed = probes.select("parent", "node").distinct().groupBy("parent").agg(F.count("*").cast("double").alias("m"))
     likeness = shares.groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("c").alias("c")).join(probed, "parent")
     dense = likeness.filter(F.col("cc") >= DENSE * F.col("c") * F.col("m")).select(F.col("parent").alias("key"))
-    below = rows.filter("probe = 0").join(dense.select(F.col("key").alias("parent")), "parent", "left_anti")
-    return dense, below.select("key", "node", "cost")
+    below = several(rows.filter("probe = 0").select("key", "parent", "node", "cost"))
+    below = below.join(dense.select(F.col("key").alias("parent")), "parent", "left_anti")
+    return dense, below.select("key", "node", "cost", "size")
 
 
 def several(members: DataFrame) -> DataFrame:
@@ -279,7 +280,7 @@ def joined(docs: DataFrame, threshold: float, recall: float, words: int) -> Data
             break
         dense, below = split(large, texts.select("node", "text"), threshold, words)
         leaves = leaves.unionAll(large.join(dense, "key", "left_semi").select("key", "node", "cost"))
-        members = stored(several(below))
+        members = stored(below)
         leaves = leaves.unionAll(members.filter(F.col("size") <= LARGE).select("key", "node", "cost"))
         large = members.filter(F.col("size") > LARGE)
     leaves = leaves.unionAll(large.select("key", "node", "cost"))
