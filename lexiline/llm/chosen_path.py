@@ -38,7 +38,7 @@ LARGE = 100
 DENSE = 0.5
 PROBES = 24, 200  # shingles and sets of a bucket that tell how alike its sets are
 DEPTH = 8
-MEMO = 400_000
+MEMO = 200_000
 ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -225,7 +225,7 @@ def alike(threshold: float):
             rows, columns = rows[order], columns[order]
             for first in range(0, int(columns[-1]) + 1 if len(columns) else 0, 4096):
                 a, z = np.searchsorted(columns, [first, first + 4096])
-                held = np.zeros((len(found), 4096), dtype=np.float32)
+                held = np.zeros((len(found), min(4096, int(columns[-1]) + 1 - first)), dtype=np.float32)
                 held[rows[a:z], columns[a:z] - first] = 1
                 both += held @ held.T
         return both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9

@@ -97,13 +97,20 @@ def starts_of(t: pa.Table, by: tuple[str, ...]) -> list[int]:
 def covered(keys: list[np.ndarray], key: int) -> np.ndarray:
     """Which pairs of members share a bucket before `key`: such a pair is counted there."""
     early = [k[k < key] for k in keys]
-    names, inverse = np.unique(np.concatenate(early), return_inverse=True) if early else (np.zeros(0), np.zeros(0, int))
-    if not len(names):
-        return np.zeros((len(keys), len(keys)), dtype=bool)
-    held = np.zeros((len(keys), len(names)), dtype=np.float32)
-    held[np.repeat(np.arange(len(keys)), [len(k) for k in early]), inverse] = 1
-    held = held[:, held.sum(0) > 1]
-    return held @ held.T > 0
+    names, columns, counts = np.unique(np.concatenate(early), return_inverse=True, return_counts=True)
+    shared = counts[columns] > 1
+    _, columns = np.unique(columns[shared], return_inverse=True)
+    out = np.zeros((len(keys), len(keys)), dtype=bool)
+    if len(columns):
+        rows = np.repeat(np.arange(len(keys)), [len(k) for k in early])[shared]
+        order = np.argsort(columns, kind="stable")
+        rows, columns = rows[order], columns[order]
+        for first in range(0, int(columns[-1]) + 1, 4096):
+            a, z = np.searchsorted(columns, [first, first + 4096])
+            held = np.zeros((len(keys), min(4096, int(columns[-1]) + 1 - first)), dtype=np.float32)
+            held[rows[a:z], columns[a:z] - first] = 1
+            out |= held @ held.T > 0
+    return out
 
 
 BLOCK_ROWS = 1024

@@ -20,7 +20,8 @@ PIECE = re.compile(rf" ?[{LATIN}]+(?=[ ,.;:!?\n]|\Z)|[,.;:!?]+(?=[ \n]|\Z)|\n(?=
 ODD = re.compile(r"\s |\s\Z")
 CUT = re.compile(r"(?<=\S)(?= )")
 WORD = re.compile(rf" ?[{LATIN}]+\Z")
-MEMO = 1_000_000  # pieces that a worker remembers, about 200 bytes each
+MEMO = 1_000_000  # words that a worker remembers for `encode`, about 200 bytes each
+PARTS = 300_000  # pieces that it remembers for `learn`
 TOGETHER = 4000  # new pieces that are encoded as one text
 LONG = 80  # longer pieces are not remembered
 
@@ -100,7 +101,7 @@ class Encoder:
         new = list(set().union(*pieces).difference(memo)) if pieces else []
         if not new:
             return memo
-        if len(memo) > MEMO:
+        if len(memo) > PARTS:
             memo.clear()
             new = list(set().union(*pieces))
         plain = [p for p in new if p[0] == " " and len(p) <= LONG and WORD.match(p)]

@@ -39,7 +39,7 @@ TRAIN_ROWS = 16_000
 TERMS = 2_048
 FACTORS = 8
 EPOCHS = 12
-MEMO = 400_000
+MEMO = 200_000
 
 
 def terms_of(word: str) -> list[int]:
