@@ -7,7 +7,7 @@ trained in numpy on all documents, each used once: in every round the tasks take
 from the same weights, and their weights are averaged by the words they saw. Sums of conditional log-probabilities
 score the documents.
 
-Counts and weights are aggregated by Spark; the driver holds one network (about 0.7 MB), whatever the input. With
+Counts and weights are aggregated by Spark; the driver holds one network (about 0.4 MB), whatever the input. With
 more input, more words are counted and more tasks send weights.
 
 Cases: null and empty texts have no words and a score of 0; words never seen in training fall into hash buckets; equal
@@ -31,13 +31,13 @@ BRANCH = 16
 VOCABULARY = BRANCH**3
 HASHED = 1024  # tokens at the end of the vocabulary that share the rarer words
 SIDE = 2
-WIDTH = 12
-HIDDEN = 24
+WIDTH = 8
+HIDDEN = 16
 BATCH = 16_384
 RATE = 0.15
 ROUNDS = 2
 BLOCK = 4096  # weights in a row, when they are averaged
-MEMO = 400_000
+MEMO = 200_000
 PAD = VOCABULARY
 
 
@@ -56,8 +56,9 @@ class Network:
         for level in range(3):
             nodes = BRANCH**level
             mass = share.reshape(nodes, BRANCH, -1).sum(2)
-            self.weights[f"out{level}"] = np.zeros((nodes, BRANCH, HIDDEN), np.float32)
-            self.weights[f"bias{level}"] = np.log(mass / mass.sum(1, keepdims=True)).astype(np.float32)
+            # the last hidden unit is always 1, so its weight is the bias of the branch
+            out = self.weights[f"out{level}"] = np.zeros((nodes, BRANCH, HIDDEN + 1), np.float32)
+            out[:, :, HIDDEN] = np.log(mass / mass.sum(1, keepdims=True))
         self.squares: dict[str, np.ndarray] = {}
 
     def flat(self) -> np.ndarray:
@@ -70,40 +71,38 @@ class Network:
             at += w.size
         return self
 
-    def tokens(self, text: str | None, memo: dict[str, int]) -> list[int]:
-        out = []
-        for w in WORD.findall((text or "").lower()):
-            t = memo.get(w)
-            if t is None:
-                if len(memo) > MEMO:
-                    memo.clear()
-                t = memo[w] = self.known.get(w, VOCABULARY - HASHED + zlib.crc32(w.encode()) % HASHED)
-            out.append(t)
-        return out
+    def tokens(self, text: str | None, memo: dict[str, int]) -> np.ndarray:
+        words = WORD.findall((text or "").lower())
+        if len(memo) > MEMO:
+            memo.clear()
+        for w in set(words).difference(memo):
+            memo[w] = self.known.get(w, VOCABULARY - HASHED + zlib.crc32(w.encode()) % HASHED)
+        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
     def forward(self, context: np.ndarray, target: np.ndarray) -> tuple:
         """Log-probability of each target, and what the backward step needs."""
-        w = self.weights
-        x = w["embed"][context].reshape(len(target), -1)
-        h = np.maximum(x @ w["hidden"] + w["shift"], 0)
-        total = np.zeros(len(target))
+        w, n = self.weights, len(target)
+        x = w["embed"][context].reshape(n, -1)
+        h = np.ones((n, HIDDEN + 1), np.float32)
+        np.maximum(x @ w["hidden"] + w["shift"], 0, out=h[:, :HIDDEN])
+        total = np.zeros(n)
         kept = []
+        rows, ones = np.arange(n), np.ones(BRANCH, np.float32)
         for level in range(3):
             node = target // BRANCH ** (3 - level)
-            digit = target // BRANCH ** (2 - level) % BRANCH
             order = np.argsort(node.astype(np.uint16), kind="stable")
-            names, starts = np.unique(node[order], return_index=True)
-            bounds = [*starts.tolist(), len(order)]
+            ends = np.cumsum(np.bincount(node, minlength=BRANCH**level)).tolist()
+            digit = (target // BRANCH ** (2 - level) % BRANCH)[order]
             hs = h[order]
-            logits = w[f"bias{level}"][node[order]]
-            for k, name in enumerate(names.tolist()):
-                logits[bounds[k] : bounds[k + 1]] += hs[bounds[k] : bounds[k + 1]] @ w[f"out{level}"][name].T
-            logits -= logits.max(1, keepdims=True)
+            logits = np.empty((n, BRANCH), np.float32)
+            parts = [(k, a, z) for k, (a, z) in enumerate(zip([0, *ends], ends)) if z > a]
+            for k, a, z in parts:
+                np.matmul(hs[a:z], w[f"out{level}"][k].T, out=logits[a:z])
+            np.clip(logits, -60, 60, out=logits)
             p = np.exp(logits)
-            norm = p.sum(1)
-            rows = np.arange(len(order))
-            total[order] += logits[rows, digit[order]] - np.log(norm)
-            kept.append((order, names, bounds, hs, p, norm, digit))
+            norm = p @ ones
+            total[order] += logits[rows, digit] - np.log(norm)
+            kept.append((order, parts, hs, p, norm, digit))
         return total, x, h, kept
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
@@ -112,21 +111,18 @@ class Network:
         _, x, h, kept = self.forward(context, target)
         grads = {}
         dh = np.zeros_like(h)
-        for level, (order, names, bounds, hs, p, norm, digit) in enumerate(kept):
-            g = p / norm[:, None]
-            g[np.arange(n), digit[order]] -= 1
-            g /= n
-            out, bias = np.zeros_like(w[f"out{level}"]), np.zeros_like(w[f"bias{level}"])
+        for level, (order, parts, hs, p, norm, digit) in enumerate(kept):
+            p /= norm[:, None]
+            p[np.arange(n), digit] -= 1
+            p /= n
+            grads[f"out{level}"] = out = np.zeros_like(w[f"out{level}"])
             back = np.empty_like(hs)
-            for k, name in enumerate(names.tolist()):
-                part = g[bounds[k] : bounds[k + 1]]
-                out[name] = part.T @ hs[bounds[k] : bounds[k + 1]]
-                bias[name] = part.sum(0)
-                back[bounds[k] : bounds[k + 1]] = part @ w[f"out{level}"][name]
+            for k, a, z in parts:
+                np.matmul(p[a:z].T, hs[a:z], out=out[k])
+                np.matmul(p[a:z], w[f"out{level}"][k], out=back[a:z])
             dh[order] += back
-            grads[f"out{level}"], grads[f"bias{level}"] = out, bias
-        dh *= h > 0
-        grads["hidden"], grads["shift"] = x.T @ dh, dh.sum(0)
+        dh = dh[:, :HIDDEN] * (h[:, :HIDDEN] > 0)
+        grads["hidden"], grads["shift"] = x.T @ dh, np.ones(n, np.float32) @ dh
         dx = (dh @ w["hidden"].T).reshape(-1, WIDTH)
         flat = context.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
@@ -139,16 +135,13 @@ class Network:
             w[k] -= rate * g / np.sqrt(s)
 
 
-def windows(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context tokens and target of each word of a few documents, and the document of each."""
-    flat, owner = [], []
-    for i, d in enumerate(docs):
-        flat += [PAD] * SIDE + d
-        owner.append(np.full(len(d), i))
-    flat = np.array(flat + [PAD] * SIDE, dtype=np.int64)
+    edge = np.full(SIDE, PAD)
+    flat = np.concatenate([edge, *(x for d in docs for x in (d, edge))])
     at = np.flatnonzero(flat != PAD)
     around = [k for k in range(-SIDE, SIDE + 1) if k]
-    return flat[at[:, None] + around], flat[at], np.concatenate(owner) if owner else np.zeros(0, int)
+    return flat[at[:, None] + around], flat[at], np.repeat(np.arange(len(docs)), [len(d) for d in docs])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -213,13 +206,11 @@ def averaged(texts: DataFrame, net: Network) -> Network:
             held += len(t)
             if held >= BATCH:
                 cs, ts = np.concatenate(context), np.concatenate(target)
-                order = np.random.default_rng(len(ts)).permutation(len(ts))
-                for at in range(0, len(ts) - BATCH + 1, BATCH):
-                    pick = order[at : at + BATCH]
-                    net.learn(cs[pick], ts[pick])
-                rest = order[len(ts) // BATCH * BATCH :]
-                seen += len(ts) - len(rest)
-                context, target, held = [cs[rest]], [ts[rest]], len(rest)
+                whole = held // BATCH * BATCH
+                for at in range(0, whole, BATCH):
+                    net.learn(cs[at : at + BATCH], ts[at : at + BATCH])
+                seen += whole
+                context, target, held = [cs[whole:]], [ts[whole:]], held - whole
         if held:
             net.learn(np.concatenate(context), np.concatenate(target))
             seen += held
@@ -260,9 +251,9 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             found = [net.tokens(t, memo) for t in b.column("text").to_pylist()]
             context, target, owner = windows(found)
             sums = np.zeros(len(found))
-            for at in range(0, len(target), BATCH):
-                logs = net.forward(context[at : at + BATCH], target[at : at + BATCH])[0]
-                sums += np.bincount(owner[at : at + BATCH], weights=logs, minlength=len(found))
+            for at in range(0, len(target), 4 * BATCH):
+                part = slice(at, at + 4 * BATCH)
+                sums += np.bincount(owner[part], weights=net.forward(context[part], target[part])[0], minlength=len(found))
             sizes = np.array([len(f) for f in found], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(sizes), pa.array(sums), pa.array(sums / np.maximum(sizes, 1))], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"]
