@@ -49,22 +49,16 @@ WILDCARD_ROOTS = STYLE_ROOTS + tuple(
 ALLOWLIST = tuple("dame damo woody dummy god lord hell fat slave slaves panty opium".split())
 
 # Two-word compounds, and the filler words allowed between their halves.
-COMPOUNDS = tuple(
-    tuple(pair.split("+"))
-    for pair in """
-    mother+fucker mother+fuckers mother+fuckin mother+fucking mother+fucka mother+fuckas
-    bull+shit horse+shit bat+shit dip+shit god+damn god+dammit god+damit
-    jack+ass dumb+ass bad+ass kick+ass smart+ass fat+ass
-    cock+sucker cock+suckers cock+sucking dick+head dick+heads
-    """.split()
-)
-COMPOUNDS_ES = tuple(
-    tuple(pair.split("+"))
-    for pair in """
-    hijo+puta hija+puta puta+madre puto+madre come+mierda mama+guevo mama+gueva mama+vicho mama+bicho
-    lame+culo chupa+pinga chupa+pija chupa+pollas cara+verga care+monda care+chimba concha+madre conche+madre
-    """.split()
-)
+COMPOUNDS = (
+    ("mother", "fucker"), ("mother", "fuckers"), ("mother", "fuckin"), ("mother", "fucking"), ("mother", "fucka"), ("mother", "fuckas"),
+    ("bull", "shit"), ("horse", "shit"), ("bat", "shit"), ("dip", "shit"), ("god", "damn"), ("god", "dammit"), ("god", "damit"),
+    ("jack", "ass"), ("dumb", "ass"), ("bad", "ass"), ("kick", "ass"), ("smart", "ass"), ("fat", "ass"),
+    ("cock", "sucker"), ("cock", "suckers"), ("cock", "sucking"), ("dick", "head"), ("dick", "heads"),
+)
+COMPOUNDS_ES = (
+    ("hijo", "puta"), ("hija", "puta"), ("puta", "madre"), ("puto", "madre"), ("come", "mierda"), ("mama", "guevo"), ("mama", "gueva"), ("mama", "vicho"), ("mama", "bicho"),
+    ("lame", "culo"), ("chupa", "pinga"), ("chupa", "pija"), ("chupa", "pollas"), ("cara", "verga"), ("care", "monda"), ("care", "chimba"), ("concha", "madre"), ("conche", "madre"),
+)
 GAP_WORDS = tuple("de of a la tu".split())
 
 # The short list of the text highlighter.

@@ -80,7 +80,7 @@ def g5(spark, sf):
 @query(
     "g14_edit_signature",
     f"""WITH {fx.DENSE}, {fx.TRACKS} SELECT track_id, count(*) AS n_flagged,
-  bit_xor(('0x' || substr(md5(word || ':' || start_ms || ':' || end_ms || ':' || coalesce(censor_type, default_censor_type)), 1, 15))::BIGINT) AS signature
+  sum(('0x' || substr(md5(word || ':' || start_ms || ':' || end_ms || ':' || coalesce(censor_type, default_censor_type)), 1, 15))::BIGINT)::VARCHAR AS signature
 FROM dense JOIN tracks USING (track_id) WHERE is_profanity GROUP BY track_id""",
 )
 def g14(spark, sf):

@@ -94,7 +94,7 @@ def b6(spark, sf):
     """Indel ratio of every spelling to the listed terms its length lets it resemble."""
     keys = _vocab(spark, sf).select(text.squash("word").alias("key")).distinct()
     listed = F.array(*[F.lit(t) for t in fx.TERMS])
-    near = F.filter(listed, lambda r: similarity.length_bound(F.col("key"), r, 0.9))
+    near = F.filter(listed, lambda r: similarity.length_bound(F.col("key"), r, 0.6))
     rows = keys.select("key", F.explode(near).alias("root"))
     return rows.withColumn("ratio", similarity.edit_ratio("key", "root")).filter("ratio >= 60")
 
@@ -136,7 +136,7 @@ TITLE_SQL = """titles AS (SELECT p_partkey, p_brand, p_name, p_type, p_size,
   p_name || CASE p_partkey % 6 WHEN 0 THEN ' (Radio Edit)' WHEN 1 THEN ' [Official Video]' WHEN 2 THEN ' (DJ ' || p_type || ' Remix)'
     WHEN 3 THEN ' (feat. x)' WHEN 4 THEN ' - .' ELSE '' END AS title,
   p_brand || CASE p_partkey % 7 WHEN 0 THEN ' & ' || p_type WHEN 1 THEN ', ' || p_type WHEN 2 THEN ' ft. ' || p_type
-    WHEN 3 THEN ' (feat. ' || p_type || ')' WHEN 4 THEN ' Featuring ' || p_type WHEN 5 THEN ' AND x, y' ELSE '' END AS artist FROM part)"""
+    WHEN 3 THEN ' (feat. ' || p_type || ')' WHEN 4 THEN ' Featuring ' || p_type WHEN 5 THEN ' AND x, y' ELSE CASE WHEN p_size % 2 = 0 THEN ' (feat ' ELSE ' (defeats ' END || p_type || ')' END AS artist FROM part)"""
 
 
 def _titles(spark, sf):
@@ -151,7 +151,8 @@ def _titles(spark, sf):
         "p_brand",
         F.when(k % 7 == 0, F.concat(F.lit(" & "), "p_type")).when(k % 7 == 1, F.concat(F.lit(", "), "p_type"))
         .when(k % 7 == 2, F.concat(F.lit(" ft. "), "p_type")).when(k % 7 == 3, F.concat(F.lit(" (feat. "), "p_type", F.lit(")")))
-        .when(k % 7 == 4, F.concat(F.lit(" Featuring "), "p_type")).when(k % 7 == 5, " AND x, y").otherwise(""),
+        .when(k % 7 == 4, F.concat(F.lit(" Featuring "), "p_type")).when(k % 7 == 5, " AND x, y")
+        .otherwise(F.concat(F.when(F.col("p_size") % 2 == 0, " (feat ").otherwise(" (defeats "), "p_type", F.lit(")"))),
     )
     return fx.table(spark, sf, "part").select("*", title.alias("title"), artist.alias("artist"))
 
@@ -164,7 +165,7 @@ def b9(spark, sf):
     return _titles(spark, sf).select("p_partkey", "title", text.clean_title("title").alias("cleaned"))
 
 
-@query("b10_primary_artist", f"WITH {TITLE_SQL} SELECT p_partkey, artist, CASE WHEN p_partkey % 7 = 5 THEN p_brand || ' AND x' ELSE p_brand END AS first_artist FROM titles")
+@query("b10_primary_artist", f"WITH {TITLE_SQL} SELECT p_partkey, artist, CASE WHEN p_partkey % 7 = 5 THEN p_brand || ' AND x' WHEN p_partkey % 7 = 6 AND p_size % 2 = 1 THEN artist ELSE p_brand END AS first_artist FROM titles")
 def b10(spark, sf):
     return _titles(spark, sf).select("p_partkey", "artist", text.primary_artist("artist").alias("first_artist"))
 
