@@ -120,3 +120,19 @@ VERSION_WORDS = tuple(
 )
 # Where a credit string is cut, tried in this order.
 ARTIST_DELIMITERS = (",", " & ", " and ", " ft.", " ft ", " feat.", " feat ", " featuring ")
+
+# Junk in scraped titles, as parts of one pattern: endings of site names, marks, captions and quality tags.
+SITE_ENDINGS = ("com", "net", "org", "io", "cc", "co", "me", "to", "xyz")
+JUNK_MARKS = "®™©"
+JUNK_CAPTIONS = (r"official\s+(?:music\s+)?(?:video|audio|visualizer)", r"lyrics?\s*(?:video)?")
+QUALITY_TAGS = ("hd", "hq", "4k", r"320\s*kbps", r"128\s*kbps", "mp3", "flac")
+JUNK_OFFERS = (r"free\s+download",)
+JUNK = "|".join(
+    (
+        rf"\b\S+\.(?:{'|'.join(SITE_ENDINGS)})\b",
+        f"[{JUNK_MARKS}]",
+        *(rf"\b{c}\b" for c in JUNK_CAPTIONS),
+        rf"\b(?:{'|'.join(QUALITY_TAGS)})\b",
+        *(rf"\b{c}\b" for c in JUNK_OFFERS),
+    )
+)

@@ -134,11 +134,6 @@ def cached_lookup(requests: DataFrame, cache: DataFrame, now: str, ttl: str = "3
     return requests.join(newest, "key"), requests.join(newest.select("key"), "key", "left_anti")
 
 
-def append_cache(results: DataFrame, path: str) -> None:
-    """Add positive results to the cache table; misses are never stored."""
-    results.filter(F.col("value").isNotNull()).write.mode("append").parquet(path)
-
-
 def merge_tags(src: DataFrame, dst: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Copy source tags the target lacks (by lower-case key), never overwriting; and a verdict per track.
 

@@ -99,8 +99,11 @@ def merge_passes(
     source `vocals`. Otherwise it is added, source `adlib`. Clean second-pass words are added (source
     `vocals_fill`) only for tracks in `import_all`, where nothing overlaps or repeats them.
 
-    The rule looks at the primaries as they came, so the result does not depend on processing order;
-    of several words absorbed by one primary the last gives the timing.
+    Second-pass words that no primary absorbs are then compared with one another by the same rule: a word that repeats
+    an earlier one goes, and an earlier one that stays takes flag and timing, source `vocals`.
+
+    The rule looks at the words as they came, so the result does not depend on processing order; of several words
+    absorbed by one the last gives the timing.
     """
     if isinstance(import_all, bool):
         sec = secondary if import_all else secondary.filter("is_profanity")
@@ -123,13 +126,7 @@ def merge_passes(
         F.col("end_ms").alias("p_end"),
         F.coalesce("is_profanity", F.lit(False)).alias("p_flag"),
     )
-    overlap = F.least("s_end", "p_end") > F.greatest("s_start", "p_start")
-    gap = F.least(F.abs(F.col("s_start") - F.col("p_end")), F.abs(F.col("p_start") - F.col("s_end")))
-    same = F.trim("s_word") == F.trim("p_word")
-    near = (gap < near_ms) & (F.col("s_word") == F.col("p_word"))
-    hit = F.when(F.col("s_flag"), (overlap & (same | F.col("p_flag"))) | near).otherwise(overlap | near)
-    reach = (F.col("p_start") - near_ms, F.col("p_end") + near_ms)
-    pairs = overlap_pairs(s, p, ("s_start", "s_end"), reach, hit)
+    pairs = _repeats(s, p, near_ms)
     chosen = pairs.groupBy("track_id", "s_id").agg(
         F.min_by(F.struct("p_id", "s_start", "s_end", "s_flag"), F.struct("p_start", "p_end", "p_id")).alias("c")
     )
@@ -138,17 +135,42 @@ def merge_passes(
         .groupBy("track_id", F.col("c.p_id").alias("word_id"))
         .agg(F.max_by(F.struct("c.s_start", "c.s_end"), F.struct("c.s_start", "c.s_end", "s_id")).alias("__v"))
     )
-    merged = primary.join(taken, ["track_id", "word_id"], "left")
+    merged = _retimed(primary, taken)
+    absorbed = chosen.select("track_id", F.col("s_id").alias("word_id"))
+    added = sec.join(absorbed, ["track_id", "word_id"], "left_anti")
+    late = s.join(added.select("track_id", F.col("word_id").alias("s_id")), ["track_id", "s_id"], "left_semi")
+    early = late.select("track_id", *[F.col(f"s_{c}").alias(f"p_{c}") for c in ("id", "word", "start", "end", "flag")])
+    after = F.struct("p_start", "p_end", "p_id") < F.struct("s_start", "s_end", "s_id")
+    again = _repeats(late, early, near_ms, after)
+    retaken = (
+        again.filter("s_flag")
+        .groupBy("track_id", F.col("p_id").alias("word_id"))
+        .agg(F.max_by(F.struct("s_start", "s_end"), F.struct("s_start", "s_end", "s_id")).alias("__v"))
+    )
+    source = F.when(F.col("is_profanity"), "adlib").otherwise("vocals_fill")
+    firsts = added.join(again.select("track_id", F.col("s_id").alias("word_id")).distinct(), ["track_id", "word_id"], "left_anti")
+    return merged.unionByName(_retimed(firsts.withColumn("detection_source", source), retaken), allowMissingColumns=True)
+
+
+def _repeats(later: DataFrame, earlier: DataFrame, near_ms: int, also=None) -> DataFrame:
+    """Pairs of a second-pass word (s_*) and a word that absorbs it (p_*)."""
+    overlap = F.least("s_end", "p_end") > F.greatest("s_start", "p_start")
+    gap = F.least(F.abs(F.col("s_start") - F.col("p_end")), F.abs(F.col("p_start") - F.col("s_end")))
+    same = F.trim("s_word") == F.trim("p_word")
+    near = (gap < near_ms) & (F.col("s_word") == F.col("p_word"))
+    hit = F.when(F.col("s_flag"), (overlap & (same | F.col("p_flag"))) | near).otherwise(overlap | near)
+    reach = (F.col("p_start") - near_ms, F.col("p_end") + near_ms)
+    return overlap_pairs(later, earlier, ("s_start", "s_end"), reach, hit if also is None else hit & also)
+
+
+def _retimed(words: DataFrame, taken: DataFrame) -> DataFrame:
+    """Words with flag, timing and source of what they absorbed: `taken` (track_id, word_id, __v)."""
     got = F.col("__v").isNotNull()
-    merged = (
-        merged.withColumn("start_ms", F.coalesce("__v.s_start", "start_ms"))
+    return (
+        words.join(taken, ["track_id", "word_id"], "left")
+        .withColumn("start_ms", F.coalesce("__v.s_start", "start_ms"))
         .withColumn("end_ms", F.coalesce("__v.s_end", "end_ms"))
         .withColumn("is_profanity", got | F.coalesce("is_profanity", F.lit(False)))
         .withColumn("detection_source", F.when(got, "vocals").otherwise(F.col("detection_source")))
         .drop("__v")
     )
-    absorbed = chosen.select("track_id", F.col("s_id").alias("word_id"))
-    added = sec.join(absorbed, ["track_id", "word_id"], "left_anti").withColumn(
-        "detection_source", F.when(F.col("is_profanity"), "adlib").otherwise("vocals_fill")
-    )
-    return merged.unionByName(added, allowMissingColumns=True)

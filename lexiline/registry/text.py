@@ -198,10 +198,7 @@ def junk_names(spark, sf):
 
 
 def junk_sql(x: str) -> str:
-    pat = (
-        r"\b\S+\.(?:com|net|org|io|cc|co|me|to|xyz)\b|[®™©]|\bofficial\s+(?:music\s+)?(?:video|audio|visualizer)\b"
-        r"|\blyrics?\s*(?:video)?\b|\b(?:hd|hq|4k|320\s*kbps|128\s*kbps|mp3|flac)\b|\bfree\s+download\b"
-    )
+    pat = fixed.JUNK
     return rf"regexp_replace(regexp_replace(replace(regexp_replace({x}, '(?i){pat}', ' ', 'g'), '_', ' '), '\s+', ' ', 'g'), '^[ \-–—|]+|[ \-–—|]+$', '', 'g')"
 
 

@@ -25,11 +25,20 @@ h AS (SELECT s.track_id, s.pos AS s_id, s.start_ms AS ss, s.end_ms AS se, s.is_p
     ELSE least(s.end_ms, p.end_ms) > greatest(s.start_ms, p.start_ms)
       OR (least(abs(s.start_ms - p.end_ms), abs(p.start_ms - s.end_ms)) < 300 AND lower(s.word) = lower(p.word)) END),
 c AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY track_id, s_id ORDER BY ps, pe, p_id) = 1),
-t AS (SELECT * FROM c WHERE sf QUALIFY row_number() OVER (PARTITION BY track_id, p_id ORDER BY ss DESC, se DESC, s_id DESC) = 1)
+t AS (SELECT * FROM c WHERE sf QUALIFY row_number() OVER (PARTITION BY track_id, p_id ORDER BY ss DESC, se DESC, s_id DESC) = 1),
+r AS (SELECT * FROM sec s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.track_id = s.track_id AND c.s_id = s.pos)),
+d AS (SELECT a.track_id, a.pos AS e_id, b.pos AS l_id, b.start_ms AS ls, b.end_ms AS le, b.is_profanity AS lf
+  FROM r a JOIN r b ON a.track_id = b.track_id AND (a.start_ms, a.end_ms, a.pos) < (b.start_ms, b.end_ms, b.pos) AND CASE WHEN b.is_profanity
+    THEN (least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms) AND (trim(lower(a.word)) = trim(lower(b.word)) OR a.is_profanity))
+      OR (least(abs(a.start_ms - b.end_ms), abs(b.start_ms - a.end_ms)) < 300 AND lower(a.word) = lower(b.word))
+    ELSE least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms)
+      OR (least(abs(a.start_ms - b.end_ms), abs(b.start_ms - a.end_ms)) < 300 AND lower(a.word) = lower(b.word)) END),
+u AS (SELECT * FROM d WHERE lf QUALIFY row_number() OVER (PARTITION BY track_id, e_id ORDER BY ls DESC, le DESC, l_id DESC) = 1)
 SELECT p.track_id, p.word, coalesce(t.ss, p.start_ms) AS start_ms, coalesce(t.se, p.end_ms) AS end_ms, p.is_profanity OR t.p_id IS NOT NULL AS is_profanity,
   CASE WHEN t.p_id IS NOT NULL THEN 'vocals' END AS detection_source FROM pri p LEFT JOIN t ON t.track_id = p.track_id AND t.p_id = p.pos
-UNION ALL SELECT track_id, word, start_ms, end_ms, is_profanity, CASE WHEN is_profanity THEN 'adlib' ELSE 'vocals_fill' END FROM sec s
-  WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.track_id = s.track_id AND c.s_id = s.pos)"""
+UNION ALL SELECT r.track_id, r.word, coalesce(u.ls, r.start_ms), coalesce(u.le, r.end_ms), r.is_profanity OR u.e_id IS NOT NULL,
+  CASE WHEN u.e_id IS NOT NULL THEN 'vocals' WHEN r.is_profanity THEN 'adlib' ELSE 'vocals_fill' END
+  FROM r LEFT JOIN u ON u.track_id = r.track_id AND u.e_id = r.pos WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.track_id = r.track_id AND d.l_id = r.pos)"""
 
 
 def _merge(spark, sf, import_all):

@@ -40,18 +40,6 @@ def read_words(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return schemas.conform_words(raw)
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript documents (one JSON object per line with a `words` array) as word rows."""
-    schema = (
-        "track_id BIGINT, duration DOUBLE, language STRING, words ARRAY<STRUCT<word: STRING, start: DOUBLE, "
-        "end: DOUBLE, confidence: DOUBLE, is_profanity: BOOLEAN, detection_source: STRING, censor_type: STRING>>"
-    )
-    docs = spark.read.schema(schema).json(path)
-    rows = docs.select("track_id", F.posexplode("words").alias("pos", "w")).select("track_id", "pos", "w.*")
-    rows = rows.withColumn("start_ms", to_ms("start")).withColumn("end_ms", to_ms("end"))
-    return schemas.conform_words(rows.withColumn("word_id", F.col("pos")))
-
-
 def write_words(words: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Persist a timeline. JSON output uses seconds, like the input format."""
     if fmt == "json":
