@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiline import session
+from lexiline.llm.common import small_batches
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7)
@@ -158,6 +159,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, terms: int = TERMS) -> Machine:
     """Choose the terms by chi-square on the training rows, then fit the machine on them."""
+    small_batches(docs.sparkSession, 500)
     rows = training_rows(docs, labels, limit)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,6 +221,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         for b in batches:
             yield b.drop(columns="text").assign(score=machine.of_texts(b["text"], lookup))
 
+    small_batches(docs.sparkSession, 500)
     source = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     out = source.mapInPandas(run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -232,4 +235,5 @@ def reject(docs: DataFrame, machine: Machine) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(machine.of_texts(b.column("text").to_pylist(), lookup) < 0.5))
 
+    small_batches(docs.sparkSession, 500)
     return docs.mapInArrow(run, docs.schema)
