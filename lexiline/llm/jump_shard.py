@@ -13,12 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiline.llm.common import shuffle_partitions
-
 MULTIPLIER = 2862933555777941757  # fixed value of the published function
 LOW32 = (1 << 32) - 1
 LOW16 = (1 << 16) - 1
 HEAD = 48  # jumps that every row is given; the few rows that need more get the rest
+BLOCKS = 1 << 10  # parts of a shard that are ordered on their own
 
 
 def low32(c: Column) -> Column:
@@ -60,20 +59,27 @@ def jump(key: Column, shards: int) -> Column:
     return state["b"].cast("int")
 
 
-def layout(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
+def block_of(key: Column, crc: Column, blocks: int) -> Column:
+    """Block of a row: the top of the generator's low half, started from the key and the text's checksum together."""
+    mixed = F.coalesce(key, F.lit(-1).cast("long")).bitwiseXOR(crc)
+    _, lo = advance(F.shiftrightunsigned(mixed, 32), low32(mixed))
+    return F.floor(lo / ((1 << 32) // blocks)).cast("int")
+
+
+def layout(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", blocks: int = BLOCKS) -> DataFrame:
     """One row per document: its shard, its gapless slot in the shard, and its shard if one more were appended.
 
     Equal rows are counted before the shuffle. Slots are running sums inside blocks of a shard, plus the total of the
-    blocks before; no task sees a whole shard, and one row per block is carried over.
+    blocks before; no task sees a whole shard, and one row per block is carried over. The rows alone decide the slots,
+    not the layout of the table or the settings of the session; `blocks` is a power of two.
     """
-    blocks = blocks or shuffle_partitions(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = (
         docs.select(F.col(key).cast("long").alias("doc_id"), F.octet_length(body).cast("long").alias("bytes"), F.crc32(body).alias("text_crc32"))
         .groupBy("doc_id", "bytes", "text_crc32")
         .agg(F.count("*").alias("copies"))
         .withColumn("shard", jump(F.col("doc_id"), shards))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
+        .withColumn("block", block_of(F.col("doc_id"), F.col("text_crc32"), blocks))
     )
     totals = rows.groupBy("shard", "block").agg(F.sum("copies").alias("rows"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,13 +16,14 @@ from lexiline.llm import (
     orc_tokens,
     pieces,
     revisits,
+    sql,
     template_decontam,
     toxicity_fm,
     window_lm,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = sql.ORACLES
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):

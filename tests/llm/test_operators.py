@@ -69,6 +69,14 @@ def test_layout_is_gapless_and_keeps_repeated_rows(spark):
     assert jump_shard.layout(docs.limit(0)).count() == 0
 
 
+def test_slots_do_not_depend_on_the_layout(spark):
+    docs = spark.createDataFrame([(i % 70 * 1024, "same" if i % 3 else str(i)) for i in range(400)], "doc_id long, text string")
+    assert sorted(jump_shard.layout(docs).collect()) == sorted(jump_shard.layout(docs.repartition(7, "text")).collect())
+    few = jump_shard.layout(docs, blocks=4).collect()
+    for shard in {r["shard"] for r in few}:
+        assert sorted(r["slot"] for r in few if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in few)))
+
+
 # tokens
 
 

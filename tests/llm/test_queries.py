@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry_module
 import corpus_pipeline
 from lexiline.llm import queries
+from tools_check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables are not here")
@@ -26,6 +27,16 @@ def test_query_runs_over_its_whole_table(spark, name):
         assert out.count() >= 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = entry_module.queries()[name](spark, SF)
+    cur = con.execute(queries.ORACLES[name])
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
 def test_one_query_per_operator():
     names = [n.split("_")[0] for n in queries.QUERIES]
     assert sorted(names) == sorted(f"op{i}" for i in range(1, 11))
