@@ -40,6 +40,25 @@ def metadata_candidates(tracks: DataFrame) -> DataFrame:
     return rows.select("track_id", "duration_ms", F.col("candidate_no").cast("long").alias("candidate_no"), "r.artist", "r.title")
 
 
+def _artist_hits(cands: DataFrame, entries: DataFrame) -> DataFrame:
+    """(__k, artist, __have, __exact, __full): entry artists of the title that contain the artist or the primary artist.
+
+    A text that contains another one contains its first three letters, so distinct spellings meet on the title and
+    those letters instead of on the title alone.
+    """
+    want, primary = F.lower("artist"), F.lower(text.primary_artist("artist"))
+    wanted = cands.select("__k", "artist", want.alias("__want"), primary.alias("__primary")).distinct()
+    begins = F.array_distinct(F.transform(F.array("__want", "__primary"), lambda w: F.substring(w, 1, 3)))
+    wanted = wanted.withColumn("__gram", F.explode(begins))
+    places = F.sequence(F.lit(1), F.length("__have"))
+    grams = F.flatten(F.transform(places, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.col("__have").substr(i, n))))
+    held = entries.select("__k", "__have").distinct().withColumn("__gram", F.explode(F.array_union(F.array(F.lit("")), F.when(F.length("__have") > 0, grams).otherwise(F.array()))))
+    full = F.col("__have").contains(F.col("__want"))
+    first = (F.col("__primary") != "") & (F.col("__primary") != F.col("__want")) & F.col("__have").contains(F.col("__primary"))
+    near = wanted.join(held, ["__k", "__gram"]).filter(full | first)
+    return near.select("__k", "artist", "__have", (F.col("__have") == F.col("__want")).alias("__exact"), full.alias("__full")).distinct()
+
+
 def match_catalog(cands: DataFrame, catalog: DataFrame) -> DataFrame:
     """One catalog entry per candidate, by the ladder: exact artist and title; title with the full
     artist; title with the primary artist; title alone (first candidate only).
@@ -47,39 +66,42 @@ def match_catalog(cands: DataFrame, catalog: DataFrame) -> DataFrame:
     Exact hits need a duration within two seconds. A search rung is won by its first entry within five;
     an entry without duration is not trusted when the track has one. If no rung is won, the first
     artist-matched entry keeps its text and loses its timing. Unknown track durations accept the
-    first entry. Rungs are one equi join on the title; the best row is an aggregate, not an ordering.
+    first entry. Entries are folded to the best of each (title, artist, duration), (title, artist), (title, duration)
+    and title, and rungs are equi joins with these: durations meet in buckets, artists by `_artist_hits`.
     """
     usable = (F.coalesce("plain", F.lit("")) != "") | (F.coalesce("synced", F.lit("")) != "")
     entries = catalog.filter(usable).select(
-        F.lower(F.trim("title")).alias("__k"),
-        F.col("entry_id"), F.col("artist").alias("c_artist"), F.col("duration_ms").alias("c_duration_ms"), "plain", "synced",
-        F.col("rank").alias("c_rank"),
+        F.lower(F.trim("title")).alias("__k"), F.lower(F.coalesce("artist", F.lit(""))).alias("__have"),
+        F.col("duration_ms").alias("__off"), F.struct(F.col("rank").alias("c_rank"), "entry_id", "plain", "synced").alias("__e"),
     )
-    # Entries that agree in title, artist and duration differ by rank only, and the best rank wins
-    # every rung: copies are folded before the join, so a much-copied song is not a hot key.
-    group = ["__k", "c_artist", "c_duration_ms"]
-    best_copy = F.min_by(F.struct("entry_id", "plain", "synced", "c_rank"), F.struct("c_rank", "entry_id"))
-    entries = entries.groupBy(*group).agg(best_copy.alias("__e")).select(*group, "__e.*")
+    first_of = lambda df, *by: df.groupBy(*by).agg(F.min_by("__e", F.struct("__e.c_rank", "__e.entry_id")).alias("__e"))
+    # Copies of an entry differ by rank only: they are folded before any join.
+    entries = first_of(entries, "__k", "__have", "__off")
+    bucket = lambda c: F.floor(c / (TOLERANCE_MS + 1))
+    timed = entries.filter("__off is not null").withColumn("__b", bucket(F.col("__off")))
     c = cands.withColumn("__k", F.lower(F.trim(text.clean_title("title"))))
-    j = c.join(entries, "__k")
-    want, have = F.lower("artist"), F.lower(F.coalesce("c_artist", F.lit("")))
-    primary = F.lower(text.primary_artist("artist"))
-    exact = have == want
-    full = have.contains(want)
-    first = (primary != "") & (primary != want) & have.contains(primary)
-    off = F.abs(F.col("c_duration_ms") - F.col("duration_ms"))
+    c = c.select("track_id", "candidate_no", "duration_ms", "artist", "__k")
+    hits = c.join(_artist_hits(c, entries), ["__k", "artist"])
+    around = lambda df: df.filter("duration_ms is not null").withColumn("__b", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: bucket(F.col("duration_ms")) + d)))
+    off = F.abs(F.col("__off") - F.col("duration_ms"))
     unknown = F.col("duration_ms").isNull()
-    close = unknown | F.coalesce(off <= TOLERANCE_MS, F.lit(False))
-    rungs = F.array(
-        F.when(exact & (unknown | F.coalesce(off <= EXACT_MS, F.lit(False))), F.struct(F.lit(0).alias("rung"), F.lit(True).alias("ok"))),
-        F.when(full, F.struct(F.lit(1).alias("rung"), close.alias("ok"))),
-        F.when(first, F.struct(F.lit(2).alias("rung"), close.alias("ok"))),
-        F.when((F.col("candidate_no") == 0) & close, F.struct(F.lit(3).alias("rung"), F.lit(True).alias("ok"))),
+    searched = F.when(F.col("__full"), 1).otherwise(2)
+    row = lambda df, rung, ok: df.select("track_id", "candidate_no", rung.alias("rung"), ok.alias("ok"), "__e")
+    yes = F.lit(True)
+    by_time = around(hits).join(timed, ["__k", "__have", "__b"]).filter(off <= TOLERANCE_MS)
+    anyway = hits.join(first_of(entries, "__k", "__have"), ["__k", "__have"])
+    leading = c.filter("candidate_no = 0")
+    title_time = around(leading).join(first_of(timed, "__k", "__off", "__b"), ["__k", "__b"]).filter(off <= TOLERANCE_MS)
+    title_only = leading.filter(unknown).join(first_of(entries, "__k"), "__k")
+    j = (
+        row(by_time, F.when(F.col("__exact") & (off <= EXACT_MS), 0).otherwise(searched), yes)
+        .unionByName(row(anyway, F.when(unknown & F.col("__exact"), 0).otherwise(searched), unknown))
+        .unionByName(row(title_time, F.lit(3), yes))
+        .unionByName(row(title_only, F.lit(3), yes))
     )
-    j = j.withColumn("r", F.explode(F.filter(rungs, lambda r: r.isNotNull()))).select("*", "r.rung", "r.ok")
-    order = F.struct((~F.col("ok")).alias("miss"), "rung", "c_rank", "entry_id")
-    row = F.struct("entry_id", "rung", "plain", "synced", F.col("ok").alias("ok"))
-    best = j.groupBy("track_id", "candidate_no").agg(F.min_by(row, order).alias("b"))
+    order = F.struct((~F.col("ok")).alias("miss"), "rung", "__e.c_rank", "__e.entry_id")
+    row_of = F.struct("__e.entry_id", "rung", "__e.plain", "__e.synced", "ok")
+    best = j.groupBy("track_id", "candidate_no").agg(F.min_by(row_of, order).alias("b"))
     stripped = F.regexp_replace(F.col("b.synced"), r"(?m)^[ \t]*\[[0-9]+:[0-9]+\.[0-9]+\][ \t]*", "")
     has_plain = F.coalesce(F.col("b.plain"), F.lit("")) != ""
     return best.select(

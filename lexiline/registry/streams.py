@@ -30,12 +30,18 @@ def s1(spark, sf):
     return out.filter("match_type IS NOT NULL").select("track_id", "pos", "word")
 
 
-@query(
-    "s2_stream_compounds",
-    f"WITH {fx.MIX}, n AS (SELECT track_id, pos, {fx.sq('word')} AS w, lag({fx.sq('word')}) OVER (PARTITION BY track_id ORDER BY pos) AS p FROM mix) SELECT track_id, pos FROM n WHERE p || '+' || w IN {fx.in_list('+'.join(p) for p in fx.PAIRS)}",
-)
+S2_GAPS = fixed.GAP_WORDS
+S2_SQL = f"""WITH {fx.MIX}, n AS (SELECT track_id, pos, {fx.sq('word')} AS w, lag(pos) OVER t AS p1, lag({fx.sq('word')}) OVER t AS w1, lag(pos, 2) OVER t AS p2, lag({fx.sq('word')}, 2) OVER t AS w2 FROM mix WINDOW t AS (PARTITION BY track_id ORDER BY pos)),
+h AS (SELECT track_id, unnest([p1, pos]) AS pos, 'adjacent' AS kind FROM n WHERE w1 || '+' || w IN {fx.in_list('+'.join(p) for p in fx.PAIRS)}
+UNION ALL SELECT track_id, unnest([p1, pos]), 'joined' FROM n WHERE length(w1) >= {fixed.JOINED_MIN_LEN} AND length(w) >= {fixed.JOINED_MIN_LEN} AND w1 || w IN {fx.in_list(fx.TERMS)}
+UNION ALL SELECT track_id, unnest([p2, p1, pos]), 'gapped' FROM n WHERE w1 IN {fx.in_list(S2_GAPS)} AND w2 || '+' || w IN {fx.in_list('+'.join(p) for p in fx.PAIRS)})
+SELECT DISTINCT track_id, pos, kind FROM h"""
+
+
+@query("s2_stream_compounds", S2_SQL)
 def s2(spark, sf):
-    return streams.run_to_table(streams.stream_compounds(_words(spark, sf), fx.PAIRS))
+    found = streams.stream_compounds(_words(spark, sf), fx.PAIRS, S2_GAPS, fx.lexicon(spark), allowlist=())
+    return streams.run_to_table(found).distinct()
 
 
 @query(
@@ -43,7 +49,7 @@ def s2(spark, sf):
     "SELECT epoch_us(date_trunc('day', ts))::BIGINT AS window_us, user_id, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 )
 def s3(spark, sf):
-    out = streams.run_to_table(streams.stream_counters(_events(spark, sf)), "complete")
+    out = streams.run_to_table(streams.stream_counters(_events(spark, sf)), "update", keys=["window_start", "user_id", "event_type"])
     return out.select(F.unix_micros("window_start").alias("window_us"), "user_id", "event_type", "n", F.round("total", 4).alias("total"))
 
 

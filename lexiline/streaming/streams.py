@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,26 +19,44 @@ def _folder(spark: SparkSession, name: str) -> str:
     return os.path.join(session.ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", path: str | None = None, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_to_table(
+    stream: DataFrame,
+    mode: str = "append",
+    path: str | None = None,
+    each: Callable[[DataFrame], DataFrame] | None = None,
+    keys: Sequence[str] = (),
+) -> DataFrame:
     """Drain the available input into a table and read it back.
 
-    Every batch goes to its own folder, overwritten on a retry, so a repeated batch adds nothing.
-    In complete mode the last batch holds the whole result.
+    With a `path`, the table and the checkpoint of the stream live below it, and a later call goes on where the last
+    one stopped. Every batch is a partition of its own, overwritten on a retry, so a repeated batch adds nothing. In
+    complete mode the last batch holds the whole result; in update mode the last row of each of the `keys` counts.
+    A stream without input gives an empty table.
     """
     spark = stream.sparkSession
-    path = path or _folder(spark, "stream-out")
-    done: list[int] = []
+    path = path or _folder(spark, "stream")
+    table = f"{path}/table"
+    shape = spark.createDataFrame([], stream.schema)
+    (each(shape) if each else shape).write.mode("ignore").parquet(f"{table}/batch=-1")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         out = each(batch) if each else batch
-        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        done.append(batch_id)
+        out.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", _folder(spark, "stream-ckpt"))
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
     writer.foreachBatch(sink).start().awaitTermination()
+    rows = spark.read.parquet(table)
     if mode == "complete":
-        return spark.read.parquet(f"{path}/batch={done[-1]}")
-    return spark.read.parquet(path).drop("batch")
+        return rows.filter(F.col("batch") == last_batch(rows)).drop("batch")
+    if mode == "update":
+        rest = [c for c in rows.columns if c not in (*keys, "batch")]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+    return rows.drop("batch")
+
+
+def last_batch(rows: DataFrame) -> int:
+    """Number of the last stored batch that has rows; -1 without one."""
+    return rows.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
 
 
 def stream_flag_terms(words: DataFrame, lexicon: DataFrame, path: str | None = None, **scan_kw) -> DataFrame:
@@ -46,29 +64,51 @@ def stream_flag_terms(words: DataFrame, lexicon: DataFrame, path: str | None = N
     return run_to_table(words, path=path, each=lambda b: detect.scan_tokens(b, lexicon, **scan_kw))
 
 
-def stream_compounds(words: DataFrame, pairs=fixed.COMPOUNDS) -> DataFrame:
-    """Adjacent compounds across micro-batches; the state is the last word of each track.
+def stream_compounds(
+    words: DataFrame,
+    pairs: Sequence[tuple[str, str]] = fixed.COMPOUNDS,
+    gap_words: Sequence[str] = fixed.GAP_WORDS,
+    lexicon: DataFrame | None = None,
+    allowlist: Sequence[str] = fixed.ALLOWLIST,
+) -> DataFrame:
+    """Compounds across micro-batches: (track_id, pos, kind) of every word that takes part in one.
 
-    Emits (track_id, pos) of the second word of each pair. Words of a track must arrive in order.
+    Kinds are `adjacent`, `gapped` (the filler in between included) and, with a lexicon, `joined`. The state is the last two
+    words of a track and stays with it: a timeout by the clock would keep a drained stream from ending. Words of a track
+    must arrive in order; a word can be named by several compounds.
     """
-    listed = frozenset("+".join(p) for p in pairs)
+    listed, fillers = frozenset("+".join(p) for p in pairs), frozenset(gap_words)
+    by_lexicon = lexicon is not None
+    least = fixed.JOINED_MIN_LEN
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = sorted(r for pdf in batches for r in zip(pdf["pos"].tolist(), pdf["w"].tolist()))
-        last = state.get[0] if state.exists else None
+        seen = list(zip(*state.get)) if state.exists else []
         hits = []
         for pos, w in rows:
-            if last is not None and f"{last}+{w}" in listed:
-                hits.append(pos)
-            last = w
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"track_id": [key[0]] * len(hits), "pos": hits})
-
-    keyed = words.select("track_id", "pos", text.squash("word").alias("w"))
-    return keyed.groupBy("track_id").applyInPandasWithState(
-        step, "track_id long, pos long", "last string", "append", GroupStateTimeout.NoTimeout
-    )
+            if seen:
+                before, last = seen[-1]
+                if f"{last}+{w}" in listed:
+                    hits.append(([before, pos], "adjacent", None))
+                if by_lexicon and len(last) >= least and len(w) >= least:
+                    hits.append(([before, pos], "joined", last + w))
+                if len(seen) > 1 and last in fillers and f"{seen[-2][1]}+{w}" in listed:
+                    hits.append(([seen[-2][0], before, pos], "gapped", None))
+            seen = [*seen[-1:], (pos, w)]
+        if seen:
+            state.update(tuple(zip(*seen)))
+        yield pd.DataFrame({"track_id": [key[0]] * len(hits), "at": [h[0] for h in hits], "kind": [h[1] for h in hits], "spelling": [h[2] for h in hits]})
+
+    keyed = words.select("track_id", "pos", F.coalesce(text.squash("word"), F.lit("")).alias("w"))
+    found = keyed.groupBy("track_id").applyInPandasWithState(
+        step, "track_id long, at array<long>, kind string, spelling string", "places array<long>, words array<string>", "append",
+        GroupStateTimeout.NoTimeout,
+    )
+    if lexicon is not None:
+        terms = detect.exact_terms(lexicon).select(F.col("term").alias("spelling"), F.lit(True).alias("known")).distinct()
+        terms = terms.filter(~F.col("spelling").isin(*allowlist)) if allowlist else terms
+        found = found.join(terms, "spelling", "left").filter(F.col("known") | (F.col("kind") != "joined"))
+    return found.select("track_id", F.explode("at").alias("pos"), "kind")
 
 
 def stream_counters(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -108,23 +148,23 @@ def stream_reconcile(subs: DataFrame, path: str | None = None) -> DataFrame:
 
     Each batch writes a new version of the subscription table (a later `seq` replaces an earlier one);
     the answer is the batch reconciliation of the last version.
+    With a `path`, versions and checkpoint live below it, and a later call goes on from the last stored version.
     """
     spark = subs.sparkSession
     path = path or _folder(spark, "subs")
-    versions: list[str] = []
+    table = f"{path}/versions"
+    spark.createDataFrame([], subs.schema).write.mode("ignore").parquet(f"{table}/batch=-1")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        known = [v for v in versions if v != f"{path}/v{batch_id}"]
-        both = batch if not known else batch.unionByName(spark.read.parquet(known[-1]))
+        before = spark.read.parquet(table).filter(F.col("batch") < batch_id)
+        both = batch.unionByName(before.filter(F.col("batch") == last_batch(before)).drop("batch"))
         rest = [c for c in both.columns if c != "sub_id"]
         latest = both.groupBy("sub_id").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("sub_id", "r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        versions[:] = [*known, f"{path}/v{batch_id}"]
+        latest.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    subs.writeStream.trigger(availableNow=True).option("checkpointLocation", _folder(spark, "stream-ckpt")).foreachBatch(
-        sink
-    ).start().awaitTermination()
-    return usage.reconcile_subscriptions(spark.read.parquet(versions[-1]))
+    subs.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(sink).start().awaitTermination()
+    versions = spark.read.parquet(table)
+    return usage.reconcile_subscriptions(versions.filter(F.col("batch") == last_batch(versions)).drop("batch"))
 
 
 def sessionize(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
