@@ -7,15 +7,21 @@ trained in numpy on all documents, each used once: in every round the tasks take
 from the same weights, and their weights are averaged by the words they saw. Sums of conditional log-probabilities
 score the documents.
 
-Counts and weights are aggregated by Spark; the driver holds one network (about 0.4 MB), whatever the input. With
+A bucket is a class of words: the network gives the chance of the bucket, and the stored counts the chance of the word in
+it, count / (words of the bucket + 1), so that every word of the corpus has a probability of its own. The counts of the `SHARED` most
+frequent bucketed words go along with the network; the counts of all others are joined with the documents' words by Spark.
+
+Counts and weights are aggregated by Spark; the driver holds one network (about 0.4 MB) and the counts of `SHARED` words, whatever the input. With
 more input, more words are counted and more tasks send weights.
 
-Cases: null and empty texts have no words and a score of 0; words never seen in training fall into hash buckets; equal
+Cases: null and empty texts have no words and a score of 0; words never seen in training count as words of their
+bucket that were seen once; equal
 rows score alike; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +36,7 @@ from lexiline.llm.common import WORD, small_batches, stored
 BRANCH = 16
 VOCABULARY = BRANCH**3
 HASHED = 1024  # tokens at the end of the vocabulary that share the rarer words
+SHARED = 100_000  # bucketed words whose counts every task holds; it only saves joined rows
 SIDE = 2
 WIDTH = 8
 HIDDEN = 16
@@ -41,12 +48,27 @@ MEMO = 200_000
 PAD = VOCABULARY
 
 
+def bucketed(word: str) -> int:
+    """The token of a word that is not among the most frequent ones."""
+    return VOCABULARY - HASHED + zlib.crc32(word.encode()) % HASHED
+
+
 class Network:
-    """Weights and the token of each known word."""
+    """Weights, the id of each known word, and the token and the gain of each id.
 
-    def __init__(self, known: dict[str, int], counts: np.ndarray, seed: int = 3):
+    Ids below `VOCABULARY` are tokens. The gain is the log of the share that a word has of its token; an id of a bucket stands for
+    a word seen once, and `rest` (word, n) holds the counts of words that are neither known nor seen once.
+    """
+
+    def __init__(self, known: dict[str, int], counts: np.ndarray, seed: int = 3, shared: tuple[tuple[str, int], ...] = (), rest: DataFrame | None = None):
         rng = np.random.default_rng(seed)
-        self.known = known
+        self.rest = rest
+        whole = np.zeros(VOCABULARY + 1)
+        whole[VOCABULARY - HASHED : VOCABULARY] = -np.log(counts[VOCABULARY - HASHED :] + 1)
+        tokens = np.array([bucketed(w) for w, _ in shared], np.int64)
+        self.known = {**known, **{w: VOCABULARY + 1 + i for i, (w, _) in enumerate(shared)}}
+        self.token = np.concatenate([np.arange(VOCABULARY + 1), tokens])
+        self.gain = np.concatenate([whole, np.log([n for _, n in shared]) + whole[tokens]])
         share = counts.astype(np.float64) + 0.5
         self.weights = {
             "embed": rng.normal(0, 0.3, (VOCABULARY + 1, WIDTH)).astype(np.float32),
@@ -61,6 +83,9 @@ class Network:
             out[:, :, HIDDEN] = np.log(mass / mass.sum(1, keepdims=True))
         self.squares: dict[str, np.ndarray] = {}
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "rest": None}
+
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.weights.values()])
 
@@ -71,14 +96,17 @@ class Network:
             at += w.size
         return self
 
-    def tokens(self, text: str | None, memo: dict[str, int]) -> np.ndarray:
-        words = WORD.findall((text or "").lower())
+    def ids(self, words: list[str], memo: dict[str, int]) -> np.ndarray:
         if len(memo) > MEMO:
             memo.clear()
         for w in set(words).difference(memo):
-            memo[w] = self.known.get(w, VOCABULARY - HASHED + zlib.crc32(w.encode()) % HASHED)
+            at = self.known.get(w)
+            memo[w] = bucketed(w) if at is None else at
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
+    def tokens(self, text: str | None, memo: dict[str, int]) -> np.ndarray:
+        return self.token[self.ids(WORD.findall((text or "").lower()), memo)]
+
     def forward(self, context: np.ndarray, target: np.ndarray) -> tuple:
         """Log-probability of each target, and what the backward step needs."""
         w, n = self.weights, len(target)
@@ -167,19 +195,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def start(docs: DataFrame) -> Network:
     """A network with the vocabulary and the word counts of all documents."""
     counts = stored(word_counts(docs))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - HASHED).collect()
+    # Stored first: the driver gets the chosen rows alone, not those of every task.
+    top = stored(counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - HASHED + SHARED)).collect()
+    top.sort(key=lambda r: (-r["n"], r["word"]))
+    own, shared = top[: VOCABULARY - HASHED], top[VOCABULARY - HASHED :]
     mass = np.zeros(VOCABULARY)
-    known = {}
-    for i, r in enumerate(top):
-        known[r["word"]] = i
-        mass[i] = r["n"]
+    mass[: len(own)] = [r["n"] for r in own]
     bucket = (F.crc32(F.col("word").cast("binary")) % HASHED).cast("int").alias("bucket")
-    if top:
-        last = top[-1]
-        rare = counts.filter((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > last["word"])))
-        for r in rare.groupBy(bucket).agg(F.sum("n").alias("n")).collect():  # HASHED rows at most
+    after = lambda r: (F.col("n") < r["n"]) | ((F.col("n") == r["n"]) & (F.col("word") > r["word"]))
+    if own:
+        for r in counts.filter(after(own[-1])).groupBy(bucket).agg(F.sum("n").alias("n")).collect():  # HASHED rows at most
             mass[VOCABULARY - HASHED + r["bucket"]] = r["n"]
-    return Network(known, mass)
+    rest = counts.filter(after(top[-1]) & (F.col("n") > 1)) if shared else None
+    return Network({r["word"]: i for i, r in enumerate(own)}, mass, shared=tuple((r["word"], r["n"]) for r in shared), rest=rest)
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
@@ -238,7 +266,8 @@ def averaged(texts: DataFrame, net: Network) -> Network:
     rows = texts.mapInArrow(fit, "block int, words long, weights binary").repartition("block").mapInArrow(mean, "block int, weights binary").collect()
     if not rows:
         return net
-    out = Network(net.known, np.zeros(VOCABULARY))
+    out = copy.copy(net)
+    out.rest, out.weights, out.squares = net.rest, dict(net.weights), {}
     return out.load(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
 
 
@@ -248,17 +277,30 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for b in batches:
-            found = [net.tokens(t, memo) for t in b.column("text").to_pylist()]
-            context, target, owner = windows(found)
-            sums = np.zeros(len(found))
+            texts = [WORD.findall((t or "").lower()) for t in b.column("text").to_pylist()]
+            ids = [net.ids(t, memo) for t in texts]
+            context, target, owner = windows([net.token[i] for i in ids])
+            sums = np.array([net.gain[i].sum() for i in ids])
             for at in range(0, len(target), 4 * BATCH):
                 part = slice(at, at + 4 * BATCH)
-                sums += np.bincount(owner[part], weights=net.forward(context[part], target[part])[0], minlength=len(found))
-            sizes = np.array([len(f) for f in found], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes), pa.array(sums), pa.array(sums / np.maximum(sizes, 1))], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"]
-            )
+                sums += np.bincount(owner[part], weights=net.forward(context[part], target[part])[0], minlength=len(ids))
+            sizes = np.array([len(i) for i in ids], dtype=np.int64)
+            open_ = [Counter(t[k] for k in np.flatnonzero((i >= VOCABULARY - HASHED) & (i < VOCABULARY)).tolist()) for t, i in zip(texts, ids, strict=True)]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in open_])]), pa.int32())
+            words = pa.ListArray.from_arrays(ends, pa.array([w for c in open_ for w in c], pa.string()))
+            times = pa.ListArray.from_arrays(ends, pa.array([n for c in open_ for n in c.values()], pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(sizes), pa.array(sums), words, times], ["row", "doc_id", "n_tokens", "total", "words", "times"])
 
     small_batches(docs.sparkSession, 200)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = rows.mapInArrow(run, "row long, doc_id long, n_tokens long, total double, words array<string>, times array<long>")
+    total = F.col("total")
+    if net.rest is not None:
+        found = stored(found)  # fixes the row numbers
+        spots = found.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", "w.words", "w.times")
+        # Whole billionths, so that sums do not depend on the order of the rows.
+        logs = net.rest.select(F.col("word").alias("words"), F.round(F.log("n") * 1e9).cast("long").alias("log"))
+        more = spots.join(logs, "words").groupBy("row").agg((F.sum(F.col("times") * F.col("log")) / 1e9).alias("more"))
+        found = found.join(more, "row", "left")
+        total = total + F.coalesce("more", F.lit(0.0))
+    return found.select("doc_id", "n_tokens", total.alias("log_prob"), (total / F.greatest("n_tokens", F.lit(1))).alias("mean_log_prob"))

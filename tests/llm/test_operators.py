@@ -334,3 +334,23 @@ def test_window_network_beats_word_counts_and_notices_order(spark):
     odd = {r["doc_id"]: r for r in window_lm.score(docs, net).filter("doc_id >= 900").collect()}
     assert odd[900]["log_prob"] == odd[901]["mean_log_prob"] == 0 and odd[902]["n_tokens"] == 1
     assert window_lm.score(docs.limit(0), window_lm.train(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("shared", [1, 500, 100_000])
+def test_every_word_of_the_corpus_has_its_own_probability(spark, monkeypatch, shared):
+    monkeypatch.setattr(window_lm, "SHARED", shared)
+    often = [f"often{i}" for i in range(window_lm.VOCABULARY - window_lm.HASHED)]
+    rare = {f"rare{i}": 1 + i % 7 for i in range(3000)}
+    corpus = docs_of(spark, [" ".join(often * 9), " ".join(w for w, n in rare.items() for _ in range(n)), None])
+    net = window_lm.start(corpus)
+    alone = docs_of(spark, [*often, *rare, "unseen"])
+    got = {r["doc_id"]: r["log_prob"] for r in window_lm.score(alone, net).collect()}
+    logs = dict(zip([*often, *rare, "unseen"], [got[i] for i in range(len(got))], strict=True))
+    assert len(got) == len(often) + len(rare) + 1
+    assert 0.9 < sum(np.exp(logs[w]) for w in [*often, *rare]) <= 1.0001
+    first = {}
+    for w, n in rare.items():
+        v, m = first.setdefault(window_lm.bucketed(w), (w, n))
+        assert abs((logs[w] - logs[v]) - (np.log(n) - np.log(m))) < 1e-4
+    row = window_lm.score(docs_of(spark, ["rare6 rare13 rare6", "rare6 rare13 rare6"]), net).collect()
+    assert row[0]["n_tokens"] == 3 and abs(row[0]["mean_log_prob"] * 3 - row[0]["log_prob"]) < 1e-9 and abs(row[0]["log_prob"] - row[1]["log_prob"]) < 1e-6
