@@ -1,9 +1,9 @@
 """Benchmark decontamination by canonical templates, in built-in expressions only.
 
 Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders; the
-other words are lower-cased. Windows of `WINDOW` canonical words, all of them in the benchmark and every `STRIDE`-th
-in a document, are joined by hash: any shared run of `WINDOW + STRIDE - 1` words holds such a window. A match is
-then checked in place: item and document are aligned word by word, and
+other words are lower-cased. All windows of `WINDOW` canonical words of the benchmark and of the documents are
+joined by hash, so that any shared run of `WINDOW` words is found wherever it begins; an item of fewer words is a window of its own
+length, and the documents are cut into windows of that length too. A match is then checked in place: item and document are aligned word by word, and
 
 * canonical words agree at `RUN` positions or more, or at all of a shorter item,
 * at least `SHARE` of the item's words agree,
@@ -12,9 +12,10 @@ then checked in place: item and document are aligned word by word, and
 So a question that was only given other numbers, names or units is caught, while a text that shares the form of
 a question but uses its slots otherwise is not.
 
-Cases: null or empty texts and items of fewer than `WINDOW` words match nothing; items of equal text are
+Cases: null or empty texts match nothing; items of equal text are
 compared once and all reported; equal rows are reported alike; extra columns are ignored by `matches` and kept
-by `clean`. Windows of placeholders alone are ignored (`LITERALS` plain words at least).
+by `clean`. Windows of placeholders alone are ignored (`LITERALS` plain words at least), and so are items without
+such a window. A match without a shared run of `WINDOW` words is not found.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiline.llm.common import stored
+
 WINDOW = 8
-STRIDE = 6
+STRIDE = 6  # the grid of the SQL twin; the operator looks at every window
 RUN = 13
 SHARE = 0.8
 LITERALS = 3
@@ -58,20 +61,21 @@ def canonical(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(bare), GAP), "")
 
 
-def windows(words: Column, stride: int) -> Column:
-    """(at, hash) of the windows that hold enough plain words."""
-    last = F.size(words) - WINDOW
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, WINDOW)).alias("hash")))
+def windows(words: Column, size: Column) -> Column:
+    """(at, hash) of all windows of so many words."""
+    last = F.size(words) - size
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, size)).alias("hash")))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """All windows of the distinct item texts: (item_key, words, at, hash)."""
+    """Windows of the distinct item texts that hold enough plain words: (item_key, size, at, hash)."""
     items = benchmark.filter("text is not null").select(F.col("text").alias("item_text")).distinct()
-    words = items.select(F.md5("item_text").alias("item_key"), canonical(F.col("item_text")).alias("words"))
-    spots = words.select("item_key", "words", F.explode(windows(F.col("words"), 1)).alias("w")).select("item_key", "words", "w.at", "w.hash")
-    plain = F.filter(F.slice("words", F.col("at") + 1, WINDOW), lambda w: ~w.rlike("^[\u0001-\u0003]"))
-    return spots.filter(F.size(plain) >= LITERALS).select("item_key", "at", "hash")
+    words = items.select(F.md5("item_text").alias("item_key"), canonical(F.col("item_text")).alias("words")).filter(F.size("words") > 0)
+    sized = words.withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
+    spots = sized.select("item_key", "words", "size", F.explode(windows(F.col("words"), F.col("size"))).alias("w")).select("item_key", "words", "size", "w.at", "w.hash")
+    plain = F.filter(F.slice("words", F.col("at") + 1, F.col("size")), lambda w: ~w.rlike("^[\u0001-\u0003]"))
+    return spots.filter(F.size(plain) >= LITERALS).select("item_key", "size", "at", "hash")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -80,10 +84,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     `at` is the word of the document where the item begins, `n_changed` counts slots with another value.
     """
     texts = docs.select(F.col("doc_id"), F.col("text"))
-    spots = texts.select("doc_id", canonical(F.col("text")).alias("words")).select("doc_id", F.explode(windows(F.col("words"), STRIDE)).alias("w"))
+    wanted = stored(item_windows(benchmark))
+    sizes = [r["size"] for r in wanted.select("size").distinct().orderBy("size").collect()]  # WINDOW rows at most
+    cuts = [windows(F.col("words"), F.lit(n)) for n in sizes or [WINDOW]]
+    spots = texts.select("doc_id", canonical(F.col("text")).alias("words")).select("doc_id", F.explode(F.concat(*cuts)).alias("w"))
     hits = (
         spots.select("doc_id", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"))
-        .join(item_windows(benchmark), "hash")
+        .join(wanted, "hash")
         .select("doc_id", "item_key", (F.col("doc_at") - F.col("at")).alias("shift"))
         .distinct()
     )

@@ -354,3 +354,14 @@ def test_every_word_of_the_corpus_has_its_own_probability(spark, monkeypatch, sh
         assert abs((logs[w] - logs[v]) - (np.log(n) - np.log(m))) < 1e-4
     row = window_lm.score(docs_of(spark, ["rare6 rare13 rare6", "rare6 rare13 rare6"]), net).collect()
     assert row[0]["n_tokens"] == 3 and abs(row[0]["mean_log_prob"] * 3 - row[0]["log_prob"]) < 1e-9 and abs(row[0]["log_prob"] - row[1]["log_prob"]) < 1e-6
+
+
+def test_short_items_are_found_at_every_place(spark):
+    ask = {n: prose(n, 300 + n) for n in (3, 5, 8, 10, 12, 20)}
+    bench = spark.createDataFrame(list(ask.items()), "item_id long, text string")
+    edited = ask[20].split()
+    edited[9] = edited[19] = "changed"
+    texts = {(n, k): f"{prose(k, 400 + k)} {t} {prose(9, 500 + k)}" for k in range(7) for n, t in {**ask, 20: " ".join(edited)}.items()}
+    docs = docs_of(spark, list(texts.values()))
+    found = set(rows(template_decontam.matches(docs, bench), "doc_id", "item_id", "at"))
+    assert {(i, n, k) for i, (n, k) in enumerate(texts)} <= found
