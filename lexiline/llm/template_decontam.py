@@ -1,13 +1,15 @@
 """Benchmark decontamination by canonical templates, in built-in expressions only.
 
-Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders; the
-other words are lower-cased. All windows of `WINDOW` canonical words of the benchmark and of the documents are
+Numbers, units after numbers and names become typed placeholders; the other words are lower-cased. Texts are read twice:
+with capitalised words inside a sentence as names, and with all capitalised words as names, where neighbouring names and the words
+of one unit are one placeholder. Either reading may find a match; where both do, the first one is reported. All windows of `WINDOW` canonical words of the benchmark and of the documents are
 joined by hash, so that any shared run of `WINDOW` words is found wherever it begins; an item of fewer words is a window of its own
-length, and the documents are cut into windows of that length too. A match is then checked in place: item and document are aligned word by word, and
+length, and the documents are cut into windows of that length too. A match is then checked in place: item and document are aligned word by word, under the shift of a shared window and, where that
+one disagrees, under those of other shared windows up to `DRIFT` words away, and
 
 * canonical words agree at `RUN` positions or more, or at all of a shorter item,
 * at least `SHARE` of the item's words agree,
-* slots are consistent: equal values of the item stand for equal values of the document, type by type.
+* slots are consistent: equal values of the item stand for equal values of the document.
 
 So a question that was only given other numbers, names or units is caught, while a text that shares the form of
 a question but uses its slots otherwise is not.
@@ -30,6 +32,7 @@ STRIDE = 6  # the grid of the SQL twin; the operator looks at every window
 RUN = 13
 SHARE = 0.8
 LITERALS = 3
+DRIFT = 6
 UNITS = (
     "km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "s", "sec", "min", "h", "hours", "hour", "minutes", "minute", "seconds",
     "second", "days", "day", "weeks", "week", "months", "month", "years", "year", "miles", "mile", "feet", "foot", "inches",
@@ -38,27 +41,53 @@ UNITS = (
 )
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 NAME_AT = r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{L}+)"
+ANY_NAME_AT = r"(?<![\p{L}\p{N}\x04])(\p{Lu}[\p{L}\x04]+)"
+NEXT_NAME_AT = r" (?=\p{Lu}\p{L})(?<=(?<![\p{L}\p{N}])\p{Lu}\p{L}{1,60} )"
 NUMBER_AT = r"(\p{N}+(?:[.,:]\p{N}+)*)"
 UNIT_AT = rf"({NUMBER}\p{{N}}[\p{{N}}.,:]* ?)({'|'.join(UNITS)})([^\p{{L}}\p{{N}}]|$)"
+MANY = "|".join(UNITS)
+RATE_AT = rf"(?<![\p{{L}}\p{{N}}])({MANY})(?: (per) |/)({MANY})(?![\p{{L}}\p{{N}}])"
+SIZE_AT = rf"(?<![\p{{L}}\p{{N}}])(square|cubic|nautical|fluid) (?=(?:{MANY})(?![\p{{L}}\p{{N}}]))"
+LONG_UNIT_AT = rf"({NUMBER}\p{{N}}[\p{{N}}.,:]* *)((?:(?:square|cubic|nautical|fluid)\x04)?(?:{MANY})(?:\x04per\x04(?:{MANY})|\x04(?:{MANY}))?)([^\p{{L}}\p{{N}}\x04]|$)"
 GAP = r"[^\p{L}\p{N}\x01\x02\x03]+"
+JOINT = "\u0004"
+READINGS = (False, True)
 
 
-def tagged(text: Column) -> Column:
+def tagged(text: Column, joined: bool = False) -> Column:
     """The text with a mark before each name, number and unit."""
+    if joined:
+        out = F.regexp_replace(F.regexp_replace(text, "[\u0001-\u0004]", " "), NEXT_NAME_AT, JOINT)
+        out = F.regexp_replace(F.regexp_replace(out, RATE_AT, f"$1{JOINT}$2{JOINT}$3"), f"{JOINT}{JOINT}", JOINT)
+        out = F.regexp_replace(F.regexp_replace(out, SIZE_AT, f"$1{JOINT}"), ANY_NAME_AT, f"{NAME}$1")
+        return F.regexp_replace(F.regexp_replace(out, NUMBER_AT, f" {NUMBER}$1 "), LONG_UNIT_AT, f"$1 {UNIT}$2$3")
     out = F.regexp_replace(F.regexp_replace(text, "[\u0001-\u0003]", " "), NAME_AT, f"{NAME}$1")
     return F.regexp_replace(F.regexp_replace(out, NUMBER_AT, f" {NUMBER}$1 "), UNIT_AT.replace(" ?)(", " *)("), f"$1 {UNIT}$2$3")
 
 
-def values(text: Column) -> Column:
+def words_in(text: Column, joined: bool) -> Column:
+    return F.array_remove(F.split(F.lower(text), GAP.replace("]+", r"\x04]+") if joined else GAP), "")
+
+
+def values(text: Column, joined: bool = False) -> Column:
     """Words of the text in order, placeholders with their values."""
-    joined = F.regexp_replace(tagged(text), r"(?<=\p{N})[.,:](?=\p{N})", "")
-    return F.array_remove(F.split(F.lower(joined), GAP), "")
+    return words_in(F.regexp_replace(tagged(text, joined), r"(?<=\p{N})[.,:](?=\p{N})", ""), joined)
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, joined: bool = False) -> Column:
     """Words of the text in order, placeholders without their values."""
-    bare = F.regexp_replace(tagged(text), rf"([{NAME}{UNIT}])\p{{L}}+|({NUMBER})\p{{N}}[\p{{N}}.,:]*", "$1$2")
-    return F.array_remove(F.split(F.lower(bare), GAP), "")
+    return words_in(F.regexp_replace(tagged(text, joined), rf"([{NAME}{UNIT}])[\p{{L}}\x04]+|({NUMBER})\p{{N}}[\p{{N}}.,:]*", "$1$2"), joined)
+
+
+def readings(text: Column, *parts) -> Column:
+    """An array of both readings: (joined, one column for each of the parts)."""
+    return F.array(*(F.struct(F.lit(j).alias("joined"), *(p(text, j).alias(p.__name__) for p in parts)) for j in READINGS))
+
+
+def n_words(found: Column) -> Column:
+    """Words of the text that some values stand for."""
+    whole = F.array_join(found, " ")
+    return F.size(found) + F.length(whole) - F.length(F.replace(whole, F.lit(JOINT), F.lit("")))
 
 
 def windows(words: Column, size: Column) -> Column:
@@ -69,13 +98,14 @@ def windows(words: Column, size: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of the distinct item texts that hold enough plain words: (item_key, size, at, hash)."""
+    """Windows of the distinct item texts that hold enough plain words: (item_key, joined, size, at, hash)."""
     items = benchmark.filter("text is not null").select(F.col("text").alias("item_text")).distinct()
-    words = items.select(F.md5("item_text").alias("item_key"), canonical(F.col("item_text")).alias("words")).filter(F.size("words") > 0)
+    read = items.select(F.md5("item_text").alias("item_key"), F.explode(readings(F.col("item_text"), canonical)).alias("r"))
+    words = read.select("item_key", "r.joined", F.col("r.canonical").alias("words")).filter(F.size("words") > 0)
     sized = words.withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
-    spots = sized.select("item_key", "words", "size", F.explode(windows(F.col("words"), F.col("size"))).alias("w")).select("item_key", "words", "size", "w.at", "w.hash")
+    spots = sized.select("item_key", "joined", "words", "size", F.explode(windows(F.col("words"), F.col("size"))).alias("w")).select("item_key", "joined", "words", "size", "w.at", "w.hash")
     plain = F.filter(F.slice("words", F.col("at") + 1, F.col("size")), lambda w: ~w.rlike("^[\u0001-\u0003]"))
-    return spots.filter(F.size(plain) >= LITERALS).select("item_key", "size", "at", "hash")
+    return spots.filter(F.size(plain) >= LITERALS).select("item_key", "joined", "size", "at", "hash")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -86,52 +116,55 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id"), F.col("text"))
     wanted = stored(item_windows(benchmark))
     sizes = [r["size"] for r in wanted.select("size").distinct().orderBy("size").collect()]  # WINDOW rows at most
-    cuts = [windows(F.col("words"), F.lit(n)) for n in sizes or [WINDOW]]
-    spots = texts.select("doc_id", canonical(F.col("text")).alias("words")).select("doc_id", F.explode(F.concat(*cuts)).alias("w"))
+    cuts = [windows(F.col("r.canonical"), F.lit(n)) for n in sizes or [WINDOW]]
+    read = texts.select("doc_id", F.explode(readings(F.col("text"), canonical)).alias("r"))
+    spots = read.select("doc_id", "r.joined", F.explode(F.concat(*cuts)).alias("w"))
     hits = (
-        spots.select("doc_id", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"))
-        .join(wanted, "hash")
-        .select("doc_id", "item_key", (F.col("doc_at") - F.col("at")).alias("shift"))
-        .distinct()
+        spots.select("doc_id", "joined", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"))
+        .join(wanted, ["hash", "joined"])
+        .groupBy("doc_id", "joined", "item_key")
+        .agg(F.collect_set(F.col("doc_at") - F.col("at")).alias("shifts"))
     )
     items = benchmark.filter("text is not null").select("item_id", F.md5("text").alias("item_key"), F.col("text").alias("item_text"))
-    item_words = items.dropDuplicates(["item_key"]).select("item_key", canonical(F.col("item_text")).alias("iw"), values(F.col("item_text")).alias("iv"))
-    hit_docs = texts.join(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_key", "shift")).alias("found")), "doc_id")
-    # Only the part of the document that the item may cover is kept, so that rows stay small.
-    aligned = (
-        hit_docs.select("doc_id", F.md5("text").alias("doc_key"), canonical(F.col("text")).alias("dw"), values(F.col("text")).alias("dv"), F.explode("found").alias("f"))
-        .select("doc_id", "doc_key", "dw", "dv", "f.item_key", "f.shift")
-        .join(item_words, "item_key")
+    item_read = items.dropDuplicates(["item_key"]).select("item_key", F.size(canonical(F.col("item_text"))).alias("n_words"), F.explode(readings(F.col("item_text"), canonical, values)).alias("r"))
+    item_words = item_read.select("item_key", "n_words", "r.joined", F.col("r.canonical").alias("iw"), F.col("r.values").alias("iv"))
+    hit_docs = texts.join(hits.groupBy("doc_id").agg(F.collect_list(F.struct("joined", "item_key", "shifts")).alias("found")), "doc_id")
+    one = hit_docs.select("doc_id", F.md5("text").alias("doc_key"), readings(F.col("text"), canonical, values).alias("r"), F.explode("found").alias("f"))
+    reading = F.get("r", F.col("f.joined").cast("int"))
+    shifted = (
+        one.select("doc_id", "doc_key", reading["canonical"].alias("dw"), reading["values"].alias("dv"), "f.joined", "f.item_key", "f.shifts", F.explode("f.shifts").alias("shift"))
+        .join(item_words, ["item_key", "joined"])
     )
-    first = F.greatest(F.lit(0), -F.col("shift"))
-    count = F.least(F.size("iw") - first, F.size("dw") - F.greatest(F.lit(0), F.col("shift")))
-    cut = lambda c, at: F.slice(F.col(c), at + 1, F.greatest(count, F.lit(0)))
-    parts = aligned.select(
+    # Only the part of the document that the item may cover is kept, so that rows stay small.
+    first = F.greatest(F.lit(0), F.col("shift") - DRIFT)
+    span = F.size("iw") + 2 * DRIFT
+    near = F.filter("shifts", lambda t: (t != F.col("shift")) & (F.abs(t - F.col("shift")) <= DRIFT))
+    start = F.greatest(F.lit(0), F.col("shift"))
+    parts = shifted.select(
         "doc_id",
         "doc_key",
         "item_key",
-        F.greatest(F.lit(0), F.col("shift")).alias("at"),
-        F.size("iw").alias("n_words"),
-        F.arrays_zip(
-            cut("iw", first).alias("a"),
-            cut("dw", F.greatest(F.lit(0), F.col("shift"))).alias("b"),
-            cut("iv", first).alias("x"),
-            cut("dv", F.greatest(F.lit(0), F.col("shift"))).alias("y"),
-        ).alias("rows"),
-    )
-    equal = F.filter("rows", lambda r: r["a"] == r["b"])
-    slots = F.array_distinct(F.transform(F.filter("rows", lambda r: (r["a"] == r["b"]) & r["a"].rlike("^[\u0001-\u0003]")), lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"))))
-    checked = parts.select("doc_id", "doc_key", "item_key", "at", "n_words", F.size(equal).cast("int").alias("n_equal"), slots.alias("slots"))
-    # One-to-one: as many pairs as values on either side.
-    consistent = (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["x"])))) & (
-        F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["y"])))
+        "joined",
+        "n_words",
+        n_words(F.slice("dv", F.lit(1), start)).cast("int").alias("at"),
+        "iw",
+        "iv",
+        F.transform(F.concat(F.array("shift"), F.array_sort(near)), lambda t: t - first).alias("moves"),
+        F.slice("dw", first + 1, span).alias("dw"),
+        F.slice("dv", first + 1, span).alias("dv"),
     )
+    place = lambda i: i + F.get(F.filter("moves", lambda m: F.get("dw", i + m) == F.get("iw", i)), F.lit(0))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("iw") - 1), lambda i: F.struct(F.get("iw", i).alias("a"), F.get("iv", i).alias("x"), F.get("dv", place(i)).alias("y")))
+    equal = parts.select("doc_id", "doc_key", "item_key", "joined", "n_words", "at", F.filter(pairs, lambda r: r["y"].isNotNull()).alias("equal"))
+    slots = F.array_distinct(F.transform(F.filter("equal", lambda r: r["a"].rlike("^[\u0001-\u0003]")), lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"))))
+    checked = equal.select("doc_id", "doc_key", "item_key", "joined", "at", "n_words", n_words(F.transform("equal", lambda r: r["x"])).cast("int").alias("n_equal"), slots.alias("slots"))
+    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["x"])))
     changed = F.size(F.filter("slots", lambda s: s["x"] != s["y"]))
     enough = (F.col("n_equal") >= F.least(F.lit(RUN), F.col("n_words"))) & (F.col("n_equal") >= F.col("n_words") * SHARE)
     good = checked.filter(enough & consistent).withColumn("n_changed", changed)
-    best = good.groupBy("doc_id", "doc_key", "item_key", "n_words").agg(F.max(F.struct("n_equal", -F.col("n_changed"), -F.col("at"))).alias("m"))
+    best = good.groupBy("doc_id", "doc_key", "item_key", "n_words").agg(F.max(F.struct(~F.col("joined"), "n_equal", -F.col("n_changed"), -F.col("at"))).alias("m"))
     return (
-        best.select("doc_id", "item_key", (-F.col("m.col3")).alias("at"), "n_words", F.col("m.n_equal").alias("n_equal"), (-F.col("m.col2")).alias("n_changed"))
+        best.select("doc_id", "item_key", (-F.col("m.col4")).alias("at"), "n_words", F.col("m.n_equal").alias("n_equal"), (-F.col("m.col3")).alias("n_changed"))
         .distinct()
         .join(items.select("item_id", "item_key"), "item_key")
         .select("doc_id", "item_id", "at", "n_words", "n_equal", "n_changed")

@@ -365,3 +365,20 @@ def test_short_items_are_found_at_every_place(spark):
     docs = docs_of(spark, list(texts.values()))
     found = set(rows(template_decontam.matches(docs, bench), "doc_id", "item_id", "at"))
     assert {(i, n, k) for i, (n, k) in enumerate(texts)} <= found
+
+
+def test_names_at_openings_and_longer_slots_are_found(spark):
+    opening = "Maria has 3 red apples. Maria gives 2 to Tom. Maria keeps all the other apples in a bag."
+    longer = "In spring Paris sends 40 square miles of green paper to the harbour and later the people of Paris paint it with 3 kg of colour"
+    inserted = prose(24, 71)
+    both = "we know that Anna likes tea and Peter likes black coffee with milk every day"
+    bench = spark.createDataFrame(list(enumerate([opening, longer, inserted, both])), "item_id long, text string")
+    words = inserted.split()
+    texts = [
+        "x y. " + opening.replace("Maria", "Elena").replace("Tom", "Pavel"),
+        "x y. " + longer.replace("Paris", "New York").replace("40 square miles", "75 km"),
+        "x y. " + " ".join([*words[:12], "surprise", *words[12:]]) + " z",
+        "x y. " + both.replace("Peter", "Anna"),
+    ]
+    found = template_decontam.matches(docs_of(spark, texts), bench)
+    assert rows(found, "doc_id", "item_id", "at") == [(i, i, 2) for i in range(4)]
