@@ -5,7 +5,8 @@ sets are one node. In each run a shared hash picks about 1 / `threshold` of a se
 one bucket per pick: two sets at the threshold share at least one pick on average, so a run misses a pair with
 a chance of 1/e at most, and `runs_for` repeats runs until the target recall. A bucket of more than `LARGE` nodes is split
 again by shingles picked with a hash of its path, unless its sets are alike on average (`DENSE`); sets that share less
-than the threshold get fewer with each split. Alike sets and small buckets are compared by exact Jaccard
+than the threshold get fewer with each split. A split picks more than a run, and more at each level (`split_picks`), so that the
+target recall holds at any depth. Alike sets and small buckets are compared by exact Jaccard
 similarity, in tiles. Buckets that are still large after `DEPTH` splits are compared all the same: no bucket is
 capped or dropped.
 
@@ -33,7 +34,7 @@ from lexiline.llm.common import WORD, classes, link, small_batches, stored
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-SPARE = 1.25  # runs more than unsplit buckets need, for pairs that are lost in splits
+SPARE = 1.25  # runs more than unsplit buckets need; what they spare is what all splits together may lose
 LARGE = 100
 DENSE = 0.5
 PROBES = 24, 200  # shingles and sets of a bucket that tell how alike its sets are
@@ -46,6 +47,16 @@ def runs_for(recall: float) -> int:
     return max(1, math.ceil(SPARE * math.log(1 / (1 - recall))))
 
 
+def split_picks(level: int, recall: float) -> float:
+    """Picks that a pair at the threshold shares on average in a split, the first at level 1.
+
+    With them all splits together, however many, lose a pair of a run with a chance that the spare runs make up for.
+    """
+    kept = 1 - (1 - recall) ** (1 / runs_for(recall))  # chance to meet in a run that the recall asks for
+    lost = 1 - kept / (1 - 1 / math.e)
+    return max(1.0, math.log(2**level / lost))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(ODD[1])
@@ -155,7 +166,7 @@ def sets(docs: DataFrame, threshold: float, recall: float, words: int) -> DataFr
     return source.mapInArrow(run, "doc_id long, tk binary, node binary, n long, picks array<long>")
 
 
-def split(members: DataFrame, texts: DataFrame, threshold: float, words: int) -> tuple[DataFrame, DataFrame]:
+def split(members: DataFrame, texts: DataFrame, threshold: float, words: int, picks: float) -> tuple[DataFrame, DataFrame]:
     """Keys of large buckets whose sets are alike, and the buckets below the others: (key), (key, node, cost, size).
 
     `members` (key, node, cost, size) come with the size of their bucket, `texts` (node, text) holds a text of each set.
@@ -171,7 +182,7 @@ def split(members: DataFrame, texts: DataFrame, threshold: float, words: int) ->
                 for bucket in buckets:
                     key = bucket["key"]
                     seed = int(mixed(np.array([key], dtype=np.int64).view(np.uint64) ^ np.uint64(ODD[4]))[0])
-                    parts = [picked(s, seed, 1 / threshold) ^ np.uint64(seed)]
+                    parts = [picked(s, seed, picks / threshold) ^ np.uint64(seed)]
                     if xxhash.xxh3_64_intdigest(node, seed=seed) < sets_probed / bucket["size"] * 2.0**64:
                         parts.append(picked(s, seed ^ ODD[2], shingles))
                     for kind, h in enumerate(parts):
@@ -275,10 +286,10 @@ def joined(docs: DataFrame, threshold: float, recall: float, words: int) -> Data
     texts = stored(texts)
     leaves = members.filter(F.col("size") <= LARGE).select("key", "node", "cost")
     large = members.filter(F.col("size") > LARGE)
-    for _ in range(DEPTH):
+    for level in range(1, DEPTH + 1):
         if large.isEmpty():
             break
-        dense, below = split(large, texts.select("node", "text"), threshold, words)
+        dense, below = split(large, texts.select("node", "text"), threshold, words, split_picks(level, recall))
         leaves = leaves.unionAll(large.join(dense, "key", "left_semi").select("key", "node", "cost"))
         members = stored(below)
         leaves = leaves.unionAll(members.filter(F.col("size") <= LARGE).select("key", "node", "cost"))

@@ -382,3 +382,23 @@ def test_names_at_openings_and_longer_slots_are_found(spark):
     ]
     found = template_decontam.matches(docs_of(spark, texts), bench)
     assert rows(found, "doc_id", "item_id", "at") == [(i, i, 2) for i in range(4)]
+
+
+def test_threshold_pairs_survive_splits(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "LARGE", 10)
+    monkeypatch.setattr(chosen_path, "SPARE", 1.25)
+    rng = random.Random(9)
+    passages = [prose(30, 700 + k) for k in range(24)]
+    texts = []
+    for _ in range(200):
+        held = rng.sample(passages, 10)
+        texts += [" ".join(held), " ".join([*held[:9], prose(25, rng.random())])]
+    docs = docs_of(spark, texts)
+    shingler = chosen_path.Shingler()
+    sets = [set(shingler.of(t).tolist()) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    found = sum(r["n_links"] for r in chosen_path.join(docs, recall=0.95).collect()) / 2
+    assert len(pairs) >= 150 and found >= 0.95 * len(pairs) - 5
+    for recall in (0.9, 0.99, 0.9999):
+        kept = (1 - 1 / np.e) * np.prod([1 - np.exp(-chosen_path.split_picks(k, recall)) for k in range(1, chosen_path.DEPTH + 1)])
+        assert (1 - kept) ** chosen_path.runs_for(recall) <= 1 - recall
