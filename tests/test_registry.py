@@ -60,3 +60,14 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     assert {tuple(r) for r in counts.collect()} == {(1, 1), (2, 1)}
     counts = streams.run_to_table(_feed(spark, str(tmp_path / "n"), "k long", [(2,), (3,)]).groupBy("k").count(), "update", str(tmp_path / "c"), keys=["k"])
     assert {tuple(r) for r in counts.collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_every_document_has_a_reference(spark):
+    from pyspark.sql import functions as F
+
+    from lexiline.registry import fixtures, jobs
+
+    sf = "/root/testdata/sf0.001"
+    lines = fixtures.timed_lines(spark, sf).filter("track_id % 4 <> 0").select("track_id")
+    given = lines.unionAll(jobs._plain(spark, sf).select("track_id"))
+    assert fixtures.table(spark, sf, "documents").join(given, given["track_id"] == F.col("doc_id"), "left_anti").count() == 0
