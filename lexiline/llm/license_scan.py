@@ -4,6 +4,7 @@ A template is a list of words and its set of `WORDS`-word shingles (all words, i
 into overlapping windows of 1, 2, 4, .. `WIDEST` shingles; a template uses the widest that fits it, stepping by
 an eighth of the width, and documents are cut into all widths that some template uses. A window's MinHash
 signature has `BANDS` bands of `ROWS` values, and a document's window that shares a band with a template's window retrieves it.
+Windows end with their text, and a text that is shorter than a window is one of its own length.
 Windows at a similarity s collide with probability 1 - (1 - s ** ROWS) ** BANDS: 0.998 at s = 0.6, above 0.9999 at 0.8.
 
 A retrieved template is verified in the document around the window: the share of the template's shingles that occur
@@ -72,8 +73,9 @@ class Index:
             self.lengths.append(len(s))
             self.sets.append(np.unique(s))
             found = self.keys.setdefault(width, {})
-            for band, (starts, keys) in enumerate(self.bands(s, {width})[width]):
-                for i, k in zip(starts.tolist(), keys.tolist(), strict=True):
+            for band, (starts, keys) in enumerate(self.bands(s, np.array([0, len(s)]), {width})[width]):
+                whole = starts <= len(s) - width
+                for i, k in zip(starts[whole].tolist(), keys[whole].tolist(), strict=True):
                     found.setdefault(k * BANDS + band, []).append((at, i))
         self.flags = {}
         for width, found in self.keys.items():
@@ -82,46 +84,52 @@ class Index:
                 flags[k % BANDS, k // BANDS >> 16] = True
             self.flags[width] = flags
 
-    def bands(self, s: np.ndarray, widths: set[int]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-        """For each width and band: starts of the windows and their keys (32 bits)."""
+    def bands(self, s: np.ndarray, bounds: np.ndarray, widths: set[int]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        """For each width and band: starts of the windows and their keys (32 bits).
+
+        Windows begin at every step of their text and end with it at the latest, so that they depend on their text alone.
+        """
         out: dict[int, list] = {w: [] for w in widths}
+        sizes = np.diff(bounds)
+        inner = np.arange(len(s)) - np.repeat(bounds[:-1], sizes)
+        # between texts, values that no minimum takes
+        at = np.arange(len(s)) + np.repeat(np.arange(len(sizes)), sizes) * (WIDEST - 1)
+        length = len(s) + len(sizes) * (WIDEST - 1) + WIDEST
         low = (s >> np.uint64(32)).astype(np.uint32)
+        starts = {w: np.flatnonzero(inner % max(1, w // 8) == 0) for w in widths}
         for band in range(BANDS):
-            rows = [low * self.factors[ROWS * band + r] + self.offsets[ROWS * band + r] for r in range(ROWS)]
+            rows = []
+            for r in range(ROWS):
+                row = np.full(length, 0xFFFFFFFF, np.uint32)
+                row[at] = low * self.factors[ROWS * band + r] + self.offsets[ROWS * band + r]
+                rows.append(row)
             width = 1
             while True:
-                if width in widths and len(rows[0]):
-                    step = max(1, width // 8)
-                    key = rows[0][::step] * np.uint32(0x9E3779B1)
+                if width in widths:
+                    places = at[starts[width]]
+                    key = rows[0][places] * np.uint32(0x9E3779B1)
                     for r in rows[1:]:
-                        key = (key ^ (key >> np.uint32(15))) * np.uint32(0x85EBCA77) + r[::step]
-                    out[width].append((np.arange(len(key)) * step, key ^ (key >> np.uint32(13))))
-                elif width in widths:
-                    out[width].append((np.zeros(0, int), np.zeros(0, np.uint32)))
-                if width >= max(widths) or len(rows[0]) <= width:
+                        key = (key ^ (key >> np.uint32(15))) * np.uint32(0x85EBCA77) + r[places]
+                    out[width].append((starts[width], key ^ (key >> np.uint32(13))))
+                if width >= max(widths):
                     break
                 rows = [np.minimum(r[:-width], r[width:]) for r in rows]
                 width *= 2
         return out
 
     def scan(self, texts: list[list[str]]) -> list[list[tuple[str, float, int, int]]]:
-        """(template, containment, first word, last word) of the templates that each of a few texts holds.
-
-        Windows run over the texts as if they were one; a window over a border is looked at in both texts.
-        """
+        """(template, containment, first word, last word) of the templates that each of a few texts holds."""
         s, bounds = self.shingler.batch(texts)
         candidates: set[tuple[int, int, int]] = set()
-        for width, bands in self.bands(s, set(self.keys)).items() if self.keys else ():
+        for width, bands in self.bands(s, bounds, set(self.keys)).items() if self.keys else ():
             found = self.keys[width]
             for band, (starts, keys) in enumerate(bands):
                 for i in np.flatnonzero(self.flags[width][band][keys >> np.uint32(16)]):
                     for t, at in found.get(int(keys[i]) * BANDS + band, ()):
-                        ends = np.searchsorted(bounds, [starts[i], starts[i] + width - 1], side="right") - 1
-                        candidates.update((d, t, int(starts[i]) - at) for d in ends.tolist())
+                        d = int(np.searchsorted(bounds, starts[i], side="right")) - 1
+                        candidates.add((d, t, int(starts[i]) - at))
         best: dict[tuple[int, int], tuple] = {}
         for d, t, start in sorted(candidates):
-            if d >= len(texts):
-                continue
             spare = max(1, self.lengths[t] // 4)
             a, z = max(int(bounds[d]), start - spare), min(int(bounds[d + 1]), start + self.lengths[t] + spare)
             inside = np.flatnonzero(np.isin(s[a:z], self.sets[t]))

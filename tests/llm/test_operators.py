@@ -402,3 +402,11 @@ def test_threshold_pairs_survive_splits(spark, monkeypatch):
     for recall in (0.9, 0.99, 0.9999):
         kept = (1 - 1 / np.e) * np.prod([1 - np.exp(-chosen_path.split_picks(k, recall)) for k in range(1, chosen_path.DEPTH + 1)])
         assert (1 - kept) ** chosen_path.runs_for(recall) <= 1 - recall
+
+
+def test_license_scan_depends_on_the_text_alone():
+    index = license_scan.Index(sorted(license_scan.TEMPLATES))
+    part = "work is licensed under the GNU General Public License, version 3."
+    texts = [license_scan.WORD.findall(t.lower()) for t in (part, prose(33, 81), part, "", prose(3, 82) + " " + license_scan.TEMPLATES[4][1])]
+    together, alone = index.scan(texts), [index.scan([t])[0] for t in texts]
+    assert together == alone and [x[0] for x in alone[0]] == ["gpl-3.0"] and [x[0] for x in alone[4]] == ["mit-text"]
