@@ -1,6 +1,6 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
-A template is a list of words and its set of `WORDS`-word shingles (all words, if it is shorter). Templates and documents are cut
+A template is a list of words and its set of `WORDS`-word shingles; one of fewer words is looked up as a whole. Other templates and documents are cut
 into overlapping windows of 1, 2, 4, .. `WIDEST` shingles; a template uses the widest that fits it, stepping by
 an eighth of the width, and documents are cut into all widths that some template uses. A window's MinHash
 signature has `BANDS` bands of `ROWS` values, and a document's window that shares a band with a template's window retrieves it.
@@ -49,6 +49,28 @@ TEMPLATES = (
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
 
+#: More notices and openings of usual families; no text of one list holds a template of another license.
+FAMILIES = (
+    ("all-rights-reserved", "All rights reserved."),
+    ("gpl-2.0-text", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("lgpl-2.1-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl-3.0-text", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("isc-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("zlib-text", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc-4.0-notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc-by-4.0-short", "Licensed under CC BY 4.0."),
+    ("cc-by-sa-4.0-short", "Licensed under CC BY-SA 4.0."),
+)
+
 
 class Index:
     """Band keys of the templates' windows, by width."""
@@ -60,11 +82,15 @@ class Index:
         self.offsets = rng.integers(0, 1 << 32, size=ROWS * BANDS, dtype=np.uint32)
         self.names, self.lengths, self.sets = [], [], []
         self.keys: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        self.short: dict[int, dict[int, list[str]]] = {}
         for name, text in templates:
             words = WORD.findall((text or "").lower())
             if not words:
                 continue
             s = self.shingler.in_order(words)
+            if len(words) < WORDS:
+                self.short.setdefault(len(words), {}).setdefault(int(s[0]), []).append(name)
+                continue
             width = 1
             while width * 2 <= min(len(s), WIDEST):
                 width *= 2
@@ -140,11 +166,23 @@ class Index:
         out: list[list] = [[] for _ in texts]
         for (d, t), b in sorted(best.items()):
             out[d].append((self.names[t], *b))
+        # Templates of fewer words than a shingle are looked up as they are, at their first place.
+        flat = self.shingler.digests([w for t in texts for w in t]) if self.short else None
+        ends = np.cumsum([len(t) for t in texts])
+        for size, found in self.short.items():
+            rolled = self.shingler.rolled(flat, size)
+            seen = set()
+            for i in np.flatnonzero(np.isin(rolled, np.array(list(found), np.uint64))).tolist():
+                d = int(np.searchsorted(ends, i, side="right"))
+                if i + size <= ends[d] and (d, int(rolled[i])) not in seen:
+                    seen.add((d, int(rolled[i])))
+                    first = i - int(ends[d]) + len(texts[d])
+                    out[d] += [(name, 1.0, first, first + size - 1) for name in found[int(rolled[i])]]
         return out
 
 
 def default_templates(spark) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES), "template_id string, text string")
+    return spark.createDataFrame(list(TEMPLATES + FAMILIES), "template_id string, text string")
 
 
 def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:

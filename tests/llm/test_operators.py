@@ -410,3 +410,10 @@ def test_license_scan_depends_on_the_text_alone():
     texts = [license_scan.WORD.findall(t.lower()) for t in (part, prose(33, 81), part, "", prose(3, 82) + " " + license_scan.TEMPLATES[4][1])]
     together, alone = index.scan(texts), [index.scan([t])[0] for t in texts]
     assert together == alone and [x[0] for x in alone[0]] == ["gpl-3.0"] and [x[0] for x in alone[4]] == ["mit-text"]
+
+
+def test_usual_notices_are_found_and_told_apart(spark):
+    given = license_scan.TEMPLATES + license_scan.FAMILIES
+    docs = docs_of(spark, [prose(12, 90 + k) + " " + t + " " + prose(k % 4, 7) for k, (_, t) in enumerate(given)] + ["All rights", "reserved", "all rights reserved"])
+    want = sorted([(k, n) for k, (n, _) in enumerate(given)] + [(len(given) + 2, "all-rights-reserved")], key=repr)
+    assert rows(license_scan.scan(docs, license_scan.default_templates(spark)), "doc_id", "template_id") == want
