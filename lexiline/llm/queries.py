@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from lexiline.llm import (
     chosen_path,
     chunk_bpe,
+    cross_parse,
+    feast_whitening,
     jump_shard,
     lattice,
     license_scan,
     orc_tokens,
     pieces,
+    residue_mining,
     revisits,
     sql,
     template_decontam,
@@ -97,3 +100,23 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity_fm.score(docs, toxicity_fm.train(docs, labels))
+
+
+@query
+def op11_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive, by exact integer scores."""
+    return residue_mining.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the least cross-parsing cost."""
+    docs = table(spark, sf_dir, "documents")
+    return cross_parse.identify(docs, cross_parse.training_passages(docs))
+
+
+@query
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened values of every vector on the 32 largest principal components."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return feast_whitening.whiten(vectors, feast_whitening.fit(vectors))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiline.llm import chosen_path, jump_shard, lattice, revisits, template_decontam
+from lexiline.llm import chosen_path, jump_shard, lattice, residue_mining, revisits, template_decontam
 
 #: The table of the checksum, derived bit by bit from its polynomial.
 CRC_TABLE = """bits AS (SELECT range AS n, range::BIGINT AS c, 0 AS k FROM range(256) UNION ALL
@@ -126,10 +126,22 @@ degree AS (SELECT x, count(*) AS n FROM link GROUP BY ALL)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low.y, vec_id)) AS component_id, least(vec_id, coalesce(low.y, vec_id)) = vec_id AS kept
 FROM embeddings LEFT JOIN degree ON degree.x = vec_id LEFT JOIN low ON low.x = vec_id"""
 
+NEGATIVES = f"""WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor({residue_mining.SCALE} * c::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % {residue_mining.EVERY} = 0),
+positive AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM scored WHERE own = label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {residue_mining.POSITIVES}),
+ranked AS (SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+  WHERE {residue_mining.LOW} * positive_score <= 100 * score AND 100 * score <= {residue_mining.HIGH} * positive_score)
+SELECT * FROM ranked WHERE rank <= {residue_mining.NEGATIVES}"""
+
 ORACLES = {
     "op1_revisit_resolution": REVISITS,
     "op2_jump_shards": jumps(24),
     "op7_template_decontamination": TEMPLATES,
     "op8_chosen_path_join": JACCARD,
     "op9_lattice_neighbours": COSINE,
+    "op11_residue_negatives": NEGATIVES,
 }
