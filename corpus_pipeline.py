@@ -7,35 +7,59 @@ all stages; the cases of each operator are in its module.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiline import session
 from lexiline.llm import chosen_path, chunk_bpe, pieces, template_decontam, toxicity_fm
-from lexiline.llm.common import stored
+from lexiline.llm.common import forget, scope, stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that each stage has stored, by its place.
+LEFT: dict[int, list[str]] = {}
+
+
+def place(n: int) -> Callable[[Stage], Stage]:
+    """A stage deletes what the stage before it has stored, as that one's output is written by then."""
+
+    def tidied(stage: Stage) -> Stage:
+        @wraps(stage)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            forget(spark, LEFT.get(n - 1, []), docs)
+            with scope() as paths:
+                out = stage(session.tune(spark), docs, sf_dir)
+            LEFT.setdefault(n, []).extend(paths)
+            return out
+
+        return run_stage
+
+    return tidied
 
 
+@place(0)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, trained on the labelled ones, does not call toxic."""
-    session.tune(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity_fm.reject(docs, toxicity_fm.train(docs, labels))
 
 
+@place(1)
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    session.tune(spark)
     return chosen_path.keep_first(docs)
 
 
+@place(2)
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark questions."""
-    session.tune(spark)
     return template_decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@place(3)
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of each document."""
-    session.tune(spark)
     return chunk_bpe.digests(docs, pieces.vocabulary("word_bpe_49k.json"))
 
 
@@ -53,6 +77,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held: list[str] = []
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scope() as paths:
+            docs = stored(stage(spark, docs, sf_dir))
+        held += paths
+        forget(spark, held, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,8 +5,10 @@ sets are one node. In each run a shared hash picks about 1 / `threshold` of a se
 one bucket per pick: two sets at the threshold share at least one pick on average, so a run misses a pair with
 a chance of 1/e at most, and `runs_for` repeats runs until the target recall. A bucket of more than `LARGE` nodes is split
 again by shingles picked with a hash of its path, unless its sets are alike on average (`DENSE`); sets that share less
-than the threshold get fewer with each split. A split picks more than a run, and more at each level (`split_picks`), so that the
-target recall holds at any depth. Alike sets and small buckets are compared by exact Jaccard
+than the threshold get fewer with each split. A split picks one shared shingle on average, so that the number of buckets of a set stays
+what it is; the first split picks `FIRST_PICKS` of them, which repeats the runs for the members of large buckets alone. `recall_at` tells
+what a pair exactly at the threshold has left when all its buckets are split: 0.9999 without splits, 0.99 at least after
+all `DEPTH` of them (closer pairs keep more). Alike sets and small buckets are compared by exact Jaccard
 similarity, in tiles. Buckets that are still large after `DEPTH` splits are compared all the same: no bucket is
 capped or dropped.
 
@@ -34,7 +36,8 @@ from lexiline.llm.common import WORD, classes, link, small_batches, stored
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-SPARE = 1.25  # runs more than unsplit buckets need; what they spare is what all splits together may lose
+SPARE = 1.25  # runs more than unsplit buckets need
+FIRST_PICKS = 3  # picks that a pair at the threshold shares on average in the first split of a bucket
 LARGE = 100
 DENSE = 0.5
 PROBES = 24, 200  # shingles and sets of a bucket that tell how alike its sets are
@@ -47,14 +50,18 @@ def runs_for(recall: float) -> int:
     return max(1, math.ceil(SPARE * math.log(1 / (1 - recall))))
 
 
-def split_picks(level: int, recall: float) -> float:
-    """Picks that a pair at the threshold shares on average in a split, the first at level 1.
+def survival(splits: int) -> float:
+    """Chance that a pair that shares one pick a split on average is still together after so many splits."""
+    kept = 1.0
+    for _ in range(splits):
+        kept = 1 - math.exp(-kept)
+    return kept
 
-    With them all splits together, however many, lose a pair of a run with a chance that the spare runs make up for.
-    """
-    kept = 1 - (1 - recall) ** (1 / runs_for(recall))  # chance to meet in a run that the recall asks for
-    lost = 1 - kept / (1 - 1 / math.e)
-    return max(1.0, math.log(2**level / lost))
+
+def recall_at(splits: int, runs: int) -> float:
+    """Chance that a pair at the threshold meets if all its buckets are split so many times."""
+    below = 1 - math.exp(-FIRST_PICKS * survival(splits - 1)) if splits else 1.0
+    return 1 - math.exp(-below) ** runs
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -289,7 +296,7 @@ def joined(docs: DataFrame, threshold: float, recall: float, words: int) -> Data
     for level in range(1, DEPTH + 1):
         if large.isEmpty():
             break
-        dense, below = split(large, texts.select("node", "text"), threshold, words, split_picks(level, recall))
+        dense, below = split(large, texts.select("node", "text"), threshold, words, FIRST_PICKS if level == 1 else 1)
         leaves = leaves.unionAll(large.join(dense, "key", "left_semi").select("key", "node", "cost"))
         members = stored(below)
         leaves = leaves.unionAll(members.filter(F.col("size") <= LARGE).select("key", "node", "cost"))
@@ -303,8 +310,9 @@ def joined(docs: DataFrame, threshold: float, recall: float, words: int) -> Data
     classed = classes(found, weights).join(weights, "node")
     firsts = classed.groupBy("component").agg(F.min("first_id").alias("class_id"))
     by_node = classed.join(firsts, "component").select("node", (F.col("links") + F.col("weight") - 1).alias("n_links"), "class_id", F.lit(True).alias("known"))
-    return rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(by_node, "node", "left").select(
+    return rows.select("doc_id", "tk", "node", F.col("n").alias("n_shingles")).join(by_node, "node", "left").select(
         "doc_id",
+        "tk",
         "node",
         "n_shingles",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -313,12 +321,16 @@ def joined(docs: DataFrame, threshold: float, recall: float, words: int) -> Data
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
-    """One document of each class, the one with the smallest id, in all its columns; rows without shingles
-    or without an id all stay; rows that repeat an id and a text are one document."""
-    found = stored(joined(docs, threshold, recall, words).filter("n_shingles > 0").select("doc_id", "node", "class_id"))
-    gone = found.filter("not (doc_id <=> class_id)").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.filter("doc_id is not null").groupBy("doc_id", "node").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id").distinct()
+    """One document of each class, the one with the smallest id, in all its columns; of several texts under that id the one with the
+    smallest digest. Rows go by id and text, so that another text under the same id stays. Rows without shingles or without an id all
+    stay; rows that repeat an id and a text are one document."""
+    found = stored(joined(docs, threshold, recall, words).filter("n_shingles > 0 and doc_id is not null").select("doc_id", "tk", "class_id"))
+    first = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "tk")).alias("first"))
+    gone = stored(
+        found.join(first, "class_id").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("tk") != F.col("first.tk"))).select(F.col("doc_id").alias("gone_id"), F.col("tk").alias("gone_tk")).distinct()
+    )
+    rest = docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (text_key() == F.col("gone_tk")), "left_anti")
+    again = found.groupBy("doc_id", "tk").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id").distinct()
     if again.isEmpty():
         return rest
     alone = rest.join(again, "doc_id", "left_anti").select(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,40 @@ from lexiline import session
 WORD = re.compile(r"\w+")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder of checkpoints and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{session.ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    for paths in _SCOPES:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Collects the paths of the tables that are stored inside it, for `forget`."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES[:] = [p for p in _SCOPES if p is not paths]
+
+
+def forget(spark: SparkSession, paths: list[str], but_for: DataFrame | None = None) -> None:
+    """Delete stored tables that nothing reads any more; those that `but_for` reads from stay."""
+    used = but_for.inputFiles() if but_for is not None else []
+    for path in list(paths):
+        if not any(path.rsplit("/", 1)[1] in f for f in used):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            paths.remove(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -44,11 +71,13 @@ def components(edges: DataFrame) -> DataFrame:
     smallest. Only per-node minima and edges are shuffled; the driver sees two numbers per round. A hub's edges are joined
     with one row for the hub, so a large hub is split like any skewed join side.
     """
-    pairs = stored(
-        edges.filter("src is not null and dst is not null and src <> dst")
-        .select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-        .distinct()
-    )
+    spark = edges.sparkSession
+    with scope() as last:
+        pairs = stored(
+            edges.filter("src is not null and dst is not null and src <> dst")
+            .select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+            .distinct()
+        )
     before = None
     while True:
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -57,7 +86,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("m"))
         tied = large.join(low, F.col("b") == F.col("k"))
         small = tied.filter("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y")).unionAll(low.select(F.col("m").alias("x"), F.col("k").alias("y")))
-        pairs = stored(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        with scope() as new:
+            pairs = stored(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        forget(spark, last)  # a round reads only the one before
+        last = new
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -89,7 +89,7 @@ TEMPLATES = f"""WITH doc AS (SELECT doc_id, {_canonical('text')} AS dw, {_values
 item AS (SELECT item_id, {_canonical('text')} AS iw, {_values('text')} AS iv FROM benchmark WHERE text IS NOT NULL),
 item_window AS (SELECT item_id, unnest(range(len(iw) - {template_decontam.WINDOW - 1})) AS place, iw FROM item),
 item_hash AS (SELECT item_id, place, iw[place + 1 : place + {template_decontam.WINDOW}] AS w FROM item_window),
-doc_window AS (SELECT doc_id, unnest(range(0, len(dw) - {template_decontam.WINDOW - 1}, {template_decontam.STRIDE})) AS place, dw FROM doc),
+doc_window AS (SELECT doc_id, unnest(range(len(dw) - {template_decontam.WINDOW - 1})) AS place, dw FROM doc),
 doc_hash AS (SELECT doc_id, place, dw[place + 1 : place + {template_decontam.WINDOW}] AS w FROM doc_window),
 hit AS (SELECT DISTINCT doc_id, item_id, d.place - i.place AS shift FROM doc_hash d
   JOIN (SELECT * FROM item_hash WHERE len(list_filter(w, lambda x: left(x, 1) NOT IN ('{template_decontam.NAME}', '{template_decontam.NUMBER}', '{template_decontam.UNIT}'))) >= {template_decontam.LITERALS}) i ON d.w = i.w),
