@@ -156,3 +156,31 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, bin_width: floa
     )
     rows = rows.withColumn("__take", take).filter(F.col("__take") > 0)
     return rows.groupBy(*keys).agg((F.sum(F.col(value) * F.col("__take")) / 2).alias(out))
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, bin_width: float, out: str = "quantile") -> DataFrame:
+    """The quantile `p` per key, interpolated between neighbouring values, without ordering a whole key.
+
+    A histogram tells which bins hold the two ranks around it; only these are looked at value by value. Equal values are counted
+    before they meet. Keys without a value give no row.
+    """
+    keys = list(keys)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__x")).agg(F.count("*").alias("__n"))
+    counted = counted.withColumn("__bin", F.floor(F.col("__x") / bin_width))
+    bins = counted.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__m"))
+    by_bin = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto, total = F.sum("__m").over(by_bin), F.sum("__m").over(W.partitionBy(*keys))
+    place = p * (F.col("__total") - 1)
+    near = (
+        bins.select(*keys, "__bin", (upto - F.col("__m")).alias("__below"), upto.alias("__until"), total.alias("__total"))
+        .withColumn("__lo", F.floor(place))
+        .withColumn("__share", place - F.col("__lo"))
+        .filter((F.col("__until") > F.col("__lo")) & (F.col("__below") <= F.col("__lo") + 1))
+    )
+    rows = counted.join(near, [*keys, "__bin"])
+    in_bin = W.partitionBy(*keys, "__bin").orderBy("__x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("__last", F.col("__below") + F.sum("__n").over(in_bin)).withColumn("__first", F.col("__last") - F.col("__n"))
+    holds = lambda rank: (F.col("__first") <= rank) & (rank < F.col("__last"))
+    high = F.least(F.col("__lo") + 1, F.col("__total") - 1)
+    weight = F.when(holds(F.col("__lo")), 1 - F.col("__share")).otherwise(0.0) + F.when(holds(high), F.col("__share")).otherwise(0.0)
+    return rows.groupBy(*keys).agg(F.sum(F.col("__x") * weight).alias(out))
