@@ -36,9 +36,9 @@ from lexiline.llm.common import WORD, classes, link, small_batches, stored
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-SPARE = 1.25  # runs more than unsplit buckets need
-FIRST_PICKS = 3  # picks that a pair at the threshold shares on average in the first split of a bucket
-LARGE = 100
+SPARE = 1.5  # runs more than unsplit buckets need
+FIRST_PICKS = 2  # picks that a pair at the threshold shares on average in the first split of a bucket
+LARGE = 200
 DENSE = 0.5
 PROBES = 24, 200  # shingles and sets of a bucket that tell how alike its sets are
 DEPTH = 8
@@ -173,46 +173,52 @@ def sets(docs: DataFrame, threshold: float, recall: float, words: int) -> DataFr
     return source.mapInArrow(run, "doc_id long, tk binary, node binary, n long, picks array<long>")
 
 
-def picks_of(members: DataFrame, texts: DataFrame, words: int, expected: float, salt: int = 0) -> DataFrame:
-    """(key, parent, node, cost): the shingles that each bucket of `members` (key, node, cost) picks of its sets, about `expected` each."""
+def split(members: DataFrame, texts: DataFrame, threshold: float, words: int, picks: float) -> tuple[DataFrame, DataFrame]:
+    """Keys of large buckets whose sets are alike, and the buckets below the others: (key), (key, node, cost, size).
+
+    `members` (key, node, cost, size) come with the size of their bucket, `texts` (node, text) holds a text of each set.
+    """
+    shingles, sets_probed = PROBES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
-            at, parents, hashes = [], [], []
+            at, parents, kinds, hashes = [], [], [], []
             found = shingler.sets(b.column("text").to_pylist())
-            for i, (s, buckets) in enumerate(zip(found, b.column("buckets").to_pylist(), strict=True)):
-                for key in buckets:
+            for i, (s, node, buckets) in enumerate(zip(found, b.column("node").to_pylist(), b.column("buckets").to_pylist(), strict=True)):
+                for bucket in buckets:
+                    key = bucket["key"]
                     seed = int(mixed(np.array([key], dtype=np.int64).view(np.uint64) ^ np.uint64(ODD[4]))[0])
-                    h = picked(s, seed ^ salt, expected) ^ np.uint64(seed)
-                    at += [i] * len(h)
-                    parents += [key] * len(h)
-                    hashes.append(h)
+                    parts = [picked(s, seed, picks / threshold) ^ np.uint64(seed)]
+                    if xxhash.xxh3_64_intdigest(node, seed=seed) < sets_probed / bucket["size"] * 2.0**64:
+                        parts.append(picked(s, seed ^ ODD[2], shingles))
+                    for kind, h in enumerate(parts):
+                        at += [i] * len(h)
+                        parents += [key] * len(h)
+                        kinds += [kind] * len(h)
+                        hashes.append(h)
             rows = pa.array(at, pa.int32())
-            keys = np.concatenate(hashes).view(np.int64) if hashes else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(parents, pa.int64()), b.column("node").take(rows), b.column("cost").take(rows)], ["key", "parent", "node", "cost"]
+                [
+                    pa.array(np.concatenate(hashes).view(np.int64) if hashes else [], pa.int64()),
+                    pa.array(parents, pa.int64()),
+                    b.column("node").take(rows),
+                    b.column("cost").take(rows),
+                    pa.array(kinds, pa.int32()),
+                ],
+                ["key", "parent", "node", "cost", "probe"],
             )
 
-    by_node = members.groupBy("node", "cost").agg(F.collect_list("key").alias("buckets"))
-    return by_node.join(texts, "node").select("node", "cost", "buckets", "text").mapInArrow(run, "key long, parent long, node binary, cost long")
-
-
-def split(members: DataFrame, texts: DataFrame, threshold: float, words: int, picks: float) -> tuple[DataFrame, DataFrame]:
-    """Keys of large buckets whose sets are alike, and the buckets below the others: (key), (key, node, cost, size).
-
-    `members` (key, node, cost, size) come with the size of their bucket, `texts` (node, text) holds a text of each set. A few sets
-    of each bucket tell how alike they are; only the members of the others are split.
-    """
-    shingles, sets_probed = PROBES
-    share = F.xxhash64("node", "key") / F.lit(2.0**64) + 0.5
-    probes = stored(picks_of(members.filter(share < F.lit(float(sets_probed)) / F.col("size")), texts, words, shingles, ODD[2]))
+    by_node = members.groupBy("node", "cost").agg(F.collect_list(F.struct("key", "size")).alias("buckets"))
+    rows = stored(by_node.join(texts, "node").select("node", "cost", "buckets", "text").mapInArrow(run, "key long, parent long, node binary, cost long, probe int"))
+    probes = rows.filter("probe = 1")
     shares = probes.groupBy("parent", "key").agg(F.count("*").cast("double").alias("c"))
     probed = probes.select("parent", "node").distinct().groupBy("parent").agg(F.count("*").cast("double").alias("m"))
     likeness = shares.groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("c").alias("c")).join(probed, "parent")
-    dense = stored(likeness.filter(F.col("cc") >= DENSE * F.col("c") * F.col("m")).select(F.col("parent").alias("key")))
-    below = stored(picks_of(members.join(dense, "key", "left_anti"), texts, words, picks / threshold))
-    return dense, several(below).select("key", "node", "cost", "size")
+    dense = likeness.filter(F.col("cc") >= DENSE * F.col("c") * F.col("m")).select(F.col("parent").alias("key"))
+    below = several(rows.filter("probe = 0").select("key", "parent", "node", "cost"))
+    below = below.join(dense.select(F.col("key").alias("parent")), "parent", "left_anti")
+    return dense, below.select("key", "node", "cost", "size")
 
 
 def several(members: DataFrame) -> DataFrame:
