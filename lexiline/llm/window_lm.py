@@ -108,8 +108,13 @@ class Network:
         return self.token[self.ids(WORD.findall((text or "").lower()), memo)]
 
     def forward(self, context: np.ndarray, target: np.ndarray) -> tuple:
-        """Log-probability of each target, and what the backward step needs."""
+        """Log-probability of each target, and what the backward step needs, in the order of the nodes.
+
+        The rows are ordered once, by their node in the last level of the tree: the nodes above are runs of that order too.
+        """
         w, n = self.weights, len(target)
+        order = np.argsort((target // BRANCH).astype(np.uint16), kind="stable")
+        context, target = context[order], target[order]
         x = w["embed"][context].reshape(n, -1)
         h = np.ones((n, HIDDEN + 1), np.float32)
         np.maximum(x @ w["hidden"] + w["shift"], 0, out=h[:, :HIDDEN])
@@ -117,38 +122,37 @@ class Network:
         kept = []
         rows, ones = np.arange(n), np.ones(BRANCH, np.float32)
         for level in range(3):
-            node = target // BRANCH ** (3 - level)
-            order = np.argsort(node.astype(np.uint16), kind="stable")
-            ends = np.cumsum(np.bincount(node, minlength=BRANCH**level)).tolist()
-            digit = (target // BRANCH ** (2 - level) % BRANCH)[order]
-            hs = h[order]
+            ends = np.cumsum(np.bincount(target // BRANCH ** (3 - level), minlength=BRANCH**level)).tolist()
+            digit = target // BRANCH ** (2 - level) % BRANCH
             logits = np.empty((n, BRANCH), np.float32)
             parts = [(k, a, z) for k, (a, z) in enumerate(zip([0, *ends], ends)) if z > a]
             for k, a, z in parts:
-                np.matmul(hs[a:z], w[f"out{level}"][k].T, out=logits[a:z])
+                np.matmul(h[a:z], w[f"out{level}"][k].T, out=logits[a:z])
             np.clip(logits, -60, 60, out=logits)
-            p = np.exp(logits)
+            total += logits[rows, digit]
+            p = np.exp(logits, out=logits)
             norm = p @ ones
-            total[order] += logits[rows, digit] - np.log(norm)
-            kept.append((order, parts, hs, p, norm, digit))
-        return total, x, h, kept
+            total -= np.log(norm)
+            kept.append((parts, p, norm, digit))
+        found = np.empty(n)
+        found[order] = total
+        return found, context, x, h, kept
 
     def learn(self, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> None:
         """One Adagrad step on the mean loss of a batch."""
         w, n = self.weights, len(target)
-        _, x, h, kept = self.forward(context, target)
+        _, context, x, h, kept = self.forward(context, target)
         grads = {}
-        dh = np.zeros_like(h)
-        for level, (order, parts, hs, p, norm, digit) in enumerate(kept):
-            p /= norm[:, None]
-            p[np.arange(n), digit] -= 1
-            p /= n
+        dh, rows = np.zeros_like(h), np.arange(n)
+        for level, (parts, p, norm, digit) in enumerate(kept):
+            p /= (norm * n)[:, None]
+            p[rows, digit] -= 1 / n
             grads[f"out{level}"] = out = np.zeros_like(w[f"out{level}"])
-            back = np.empty_like(hs)
+            back = np.empty_like(h)
             for k, a, z in parts:
-                np.matmul(p[a:z].T, hs[a:z], out=out[k])
+                np.matmul(p[a:z].T, h[a:z], out=out[k])
                 np.matmul(p[a:z], w[f"out{level}"][k], out=back[a:z])
-            dh[order] += back
+            dh += back
         dh = dh[:, :HIDDEN] * (h[:, :HIDDEN] > 0)
         grads["hidden"], grads["shift"] = x.T @ dh, np.ones(n, np.float32) @ dh
         dx = (dh @ w["hidden"].T).reshape(-1, WIDTH)
