@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("sources", "text", "filters", "detect", "timeline", "evidence", "reports", "align", "patterns", "catalog", "usage", "streams", "jobs")
+AREAS = ("sources", "text", "filters", "detect", "timeline", "evidence", "reports", "align", "patterns", "catalog", "usage", "streams", "jobs", "fusion")
 
 
 def all_queries():
