@@ -53,6 +53,35 @@ def s3(spark, sf):
     return out.select(F.unix_micros("window_start").alias("window_us"), "user_id", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query(
+    "s3_stream_sliding",
+    """WITH w AS (SELECT user_id, event_type, value, unnest(generate_series(epoch(ts)::BIGINT // 21600 * 21600 - 64800, epoch(ts)::BIGINT // 21600 * 21600, 21600)) AS s FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events))
+SELECT (s * 1000000)::BIGINT AS window_us, user_id, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL""",
+)
+def s3_sliding(spark, sf):
+    """Windows of a day that start every six hours."""
+    out = streams.stream_sliding_counters(_events(spark, sf))
+    return out.select(F.unix_micros("window_start").alias("window_us"), "user_id", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+LATE_PART = "CASE WHEN event_id % 40 = 0 THEN 2 WHEN event_id % 40 = 20 OR ts >= TIMESTAMP '2024-01-16' THEN 1 ELSE 0 END"
+
+
+@query(
+    "s3_late_rows",
+    f"""WITH p AS (SELECT event_id, epoch_us(ts) AS us, {LATE_PART} AS part FROM events), m AS (SELECT part, max(us) AS mark FROM p GROUP BY ALL)
+SELECT event_id, coalesce(us < (SELECT max(mark) FROM m WHERE m.part < p.part) - 3600000000, false) AS is_late FROM p""",
+)
+def s3_late(spark, sf):
+    """All events, replayed in three parts that are drained one after the other; some come parts after their time."""
+    parts, path = streams._folder(spark, "parts"), streams._folder(spark, "late")
+    raw = fx.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("part", F.expr(LATE_PART.replace("TIMESTAMP", "TIMESTAMP_NTZ")))
+    for k in range(3):
+        raw.filter(F.col("part") == k).drop("part").write.mode("append").parquet(parts)
+        rows = streams.split_late(tables.read_event_stream(spark, parts, max_files=1_000_000), path=path)
+    return rows.select("event_id", "is_late")
+
+
 @query(
     "s4_stream_quota_gate",
     """SELECT user_id, event_id, user_id % 5 = 0 OR row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 2 AS admitted FROM events WHERE event_type = 'purchase'""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -118,6 +119,55 @@ def stream_counters(events: DataFrame, width: str = "1 day", late: str = "1 hour
     ).select(F.col("window.start").alias("window_start"), "user_id", "event_type", "n", "total")
 
 
+def stream_sliding_counters(
+    events: DataFrame, width_s: int = 86_400, slide_s: int = 21_600, late: str = "1 hour", path: str | None = None
+) -> DataFrame:
+    """S3 over sliding windows of `width_s` seconds that start every `slide_s` seconds (counted from 1970).
+
+    The stream counts panes, as wide as the greatest common divisor of both, so an event is counted once and the state holds one row per
+    pane, however many windows overlap. A batch writes the panes that it changed, whatever came before it; windows are sums of panes, made when the table is read.
+    Where windows leave gaps between them (`slide_s` above `width_s`), panes in a gap count for none.
+    """
+    if min(width_s, slide_s) < 1:
+        raise ValueError("width and slide are whole seconds, 1 at least")
+    pane = math.gcd(width_s, slide_s)
+    rows = run_to_table(stream_counters(events, f"{pane} seconds", late), "update", path, keys=["window_start", "user_id", "event_type"])
+    at = F.unix_seconds("window_start")
+    last = at - F.pmod(at, F.lit(slide_s))
+    least = at + pane - width_s
+    first = least + F.pmod(-least, F.lit(slide_s))
+    starts = F.when(first <= last, F.sequence(first, last, F.lit(slide_s).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    windows = rows.withColumn("start_s", F.explode(starts)).groupBy("start_s", "user_id", "event_type")
+    return windows.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select(
+        F.timestamp_seconds("start_s").alias("window_start"), "user_id", "event_type", "n", "total"
+    )
+
+
+def split_late(stream: DataFrame, ts: str = "ts", late_ms: int = 3_600_000, path: str | None = None) -> DataFrame:
+    """All rows that arrived, with `batch` and `is_late`: what an operator under a watermark of `late_ms` would drop stays countable.
+
+    A row is late if its time is before the watermark that the batches before its own have set: the latest time that they hold,
+    minus `late_ms`. The rows of the first batch and rows without a time are not late. Only one time per batch is read back, and a
+    repeated batch replaces its own rows. With a `path`, a later call goes on with the watermark where it stood.
+    """
+    spark = stream.sparkSession
+    path = path or _folder(spark, "late")
+    table, marks = f"{path}/table", f"{path}/marks"
+    flagged = lambda rows, mark: rows.withColumn("is_late", F.coalesce(F.unix_micros(ts) < F.lit(mark).cast("long") - late_ms * 1000, F.lit(False)))
+    latest = lambda rows: rows.agg(F.max(F.unix_micros(ts)).alias("mark"))
+    shape = flagged(spark.createDataFrame([], stream.schema), None)
+    shape.write.mode("ignore").parquet(f"{table}/batch=-1")
+    latest(shape).write.mode("ignore").parquet(f"{marks}/batch=-1")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        mark = spark.read.parquet(marks).filter(F.col("batch") < batch_id).agg(F.max("mark")).first()[0]
+        flagged(batch, mark).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        latest(spark.read.schema(shape.schema).parquet(f"{table}/batch={batch_id}")).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(sink).start().awaitTermination()
+    return spark.read.parquet(table).filter("batch >= 0")
+
+
 def stream_quota_gate(events: DataFrame, subscribed: DataFrame, limit: int = fixed.FREE_LIMIT) -> DataFrame:
     """(user_id, event_id, admitted): the first `limit` events of a user pass, all of a subscriber's.
 
@@ -143,28 +193,60 @@ def stream_quota_gate(events: DataFrame, subscribed: DataFrame, limit: int = fix
     )
 
 
-def stream_reconcile(subs: DataFrame, path: str | None = None) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stream_reconcile(subs: DataFrame, path: str | None = None, buckets: int = 256) -> DataFrame:
     """Reconciled status per customer, recomputed from the latest state of all their subscriptions.
 
-    Each batch writes a new version of the subscription table (a later `seq` replaces an earlier one);
-    the answer is the batch reconciliation of the last version.
-    With a `path`, versions and checkpoint live below it, and a later call goes on from the last stored version.
+    The subscriptions lie in `buckets` by a hash of their id. A batch writes new versions of the buckets that it touches (a later
+    `seq` replaces an earlier one) and then a manifest, which names the version of each bucket; the other buckets stay as they are. What
+    the last two manifests do not name is deleted, so that a repeated batch still finds what it started from.
+    The answer is the batch reconciliation of what the last manifest names.
+    With a `path`, table and checkpoint live below it, and a later call, with the same number of buckets, goes on from there.
     """
     spark = subs.sparkSession
     path = path or _folder(spark, "subs")
-    table = f"{path}/versions"
-    spark.createDataFrame([], subs.schema).write.mode("ignore").parquet(f"{table}/batch=-1")
+    table, manifests = f"{path}/table", f"{path}/manifests"
+    place = F.pmod(F.xxhash64("sub_id"), F.lit(buckets)).cast("int")
+    spark.createDataFrame([], "bucket int, version long").write.mode("ignore").parquet(f"{manifests}/batch=-1")
+
+    def versions(before: int | None = None) -> list[tuple[int, dict[int, int]]]:
+        """The manifests that are left (three at most, each of one row a bucket), by their batch."""
+        rows = spark.read.parquet(manifests)
+        found: dict[int, dict[int, int]] = {}
+        for r in (rows if before is None else rows.filter(F.col("batch") < before)).collect():
+            found.setdefault(r["batch"], {})[r["bucket"]] = r["version"]
+        return sorted(found.items())
+
+    def folder(bucket: int, version: int) -> str:
+        return f"{table}/version={version}/bucket={bucket}"
+
+    def stored(names: dict[int, int]) -> DataFrame:
+        paths = [folder(b, v) for b, v in sorted(names.items())]
+        return spark.read.schema(subs.schema).parquet(*paths) if paths else spark.createDataFrame([], subs.schema)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(table).filter(F.col("batch") < batch_id)
-        both = batch.unionByName(before.filter(F.col("batch") == last_batch(before)).drop("batch"))
+        earlier = versions(batch_id)
+        before = earlier[-1][1] if earlier else {}
+        touched = {r[0] for r in batch.select(place).distinct().collect()}
+        both = batch.unionByName(stored({b: v for b, v in before.items() if b in touched}))
         rest = [c for c in both.columns if c != "sub_id"]
         latest = both.groupBy("sub_id").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("sub_id", "r.*")
-        latest.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        latest.withColumn("bucket", place).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{table}/version={batch_id}")
+        now = before | dict.fromkeys(touched, batch_id)
+        spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{manifests}/batch={batch_id}")
+        for number, names in earlier[:-1]:
+            for b, v in names.items():
+                if v not in (before.get(b), now.get(b)):
+                    _delete(spark, folder(b, v))
+            _delete(spark, f"{manifests}/batch={number}")
 
     subs.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(sink).start().awaitTermination()
-    versions = spark.read.parquet(table)
-    return usage.reconcile_subscriptions(versions.filter(F.col("batch") == last_batch(versions)).drop("batch"))
+    left = versions()
+    return usage.reconcile_subscriptions(stored(left[-1][1] if left else {}))
 
 
 def sessionize(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
