@@ -62,8 +62,8 @@ def e5_all(spark, sf):
 @query(
     "e15_active_word_at",
     f"""WITH {fx.OVERLAP}, q AS (SELECT event_id AS time_id, doc_id AS track_id, (event_id * 37) % 120000 AS t_ms FROM events JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents)),
-b AS (SELECT *, unnest(range(start_ms // 5000, end_ms // 5000 + 1)) AS bucket FROM overlap),
-m AS (SELECT q.time_id, arg_min(o.pos, (o.start_ms, o.end_ms, o.pos)) AS word_id FROM q JOIN b o ON o.track_id = q.track_id AND o.bucket = t_ms // 5000 AND o.start_ms <= t_ms AND t_ms < o.end_ms GROUP BY ALL)
+k AS (SELECT *, unnest([t_ms // 400, t_ms // 400 - 1]) AS pos FROM q), -- words start at 400 * pos and last 750 ms at most
+m AS (SELECT k.time_id, arg_min(o.pos, (o.start_ms, o.end_ms, o.pos)) AS word_id FROM k JOIN overlap o ON o.track_id = k.track_id AND o.pos = k.pos AND o.start_ms <= t_ms AND t_ms < o.end_ms GROUP BY ALL)
 SELECT q.time_id, q.track_id, q.t_ms, m.word_id FROM q LEFT JOIN m USING (time_id)""",
 )
 def e15(spark, sf):
