@@ -104,6 +104,19 @@ def d5(spark, sf):
     return scanned.select("track_id", "pos", "matched", "match_type")
 
 
+@query(
+    "x2_looser_fuzzy_floor",
+    f"WITH {fx.MISHEARD}, v AS (SELECT DISTINCT word FROM misheard), {DEEL_SQL}, {FUZZY_SQL.replace('>= 80', '>= 88')}, {TIER_SQL} SELECT track_id, pos, matched, match_type FROM misheard JOIN t USING (word)",
+)
+def x2(spark, sf):
+    """The tiers with the floor of 88 of the second channel, over words with wrong last letters."""
+    scanned = detect.scan_tokens(
+        fx.misheard_words(spark, sf), fx.lexicon(spark), allowlist=ALLOW, wildcard_roots=ROOTS, style_roots=ROOTS,
+        fuzzy_metric="levenshtein", fuzzy_floor=88.0,
+    )
+    return scanned.select("track_id", "pos", "matched", "match_type")
+
+
 COMPOUND = f"""c AS (SELECT *, lag(s, 2) OVER o AS p2, lag(s) OVER o AS p1, lead(s) OVER o AS n1, lead(s, 2) OVER o AS n2
   FROM (SELECT track_id, pos, language, word, {fx.sq('word')} AS s FROM mix) WINDOW o AS (PARTITION BY track_id ORDER BY pos))"""
 
