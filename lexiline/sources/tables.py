@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lexiline import fixed, schemas
+from lexiline import fixed, schemas, session
 from lexiline.functions import text
+from lexiline.operators import blocks
 
 _RAW_WORDS = (
     "track_id BIGINT, pass STRING, word STRING, start DOUBLE, end DOUBLE, confidence DOUBLE, is_profanity BOOLEAN, "
@@ -108,6 +109,64 @@ def tokenize_reference(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     return rows.select("track_id", "s.line_no", F.col("pos").cast("long").alias("pos"), "s.token")
 
 
+#: The wildcard token, and what scraped pages leave in a text (first line, any line, end).
+STAR = "<star>"
+PAGE_HEADER = r"^[ \t]*[0-9]+[ \t]+Contributor"
+PAGE_INSERT = "you might also like"
+PAGE_END = r"[0-9]*Embed[ \t\r\n]*$"
+SECTION = r"^[ \t\r]*\[[^\n]*\][ \t\r]*$"
+
+
+def alignment_form(c) -> Column:
+    """A token in the letters a to z with apostrophes inside words; `STAR` for what cannot be spelled so (digits, other scripts, marks alone)."""
+    folded = text.strip_accents(F.lower(F.regexp_replace(c, "[’‘]", "'")))
+    bare = F.regexp_replace(F.regexp_replace(folded, r"[^\p{L}\p{N}\p{M}']", ""), r"^'+|'+$", "")
+    return F.when(bare.rlike("^[a-z]+('[a-z]+)*$"), bare).otherwise(F.lit(STAR))
+
+
+def normalize_reference(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Reference text as tokens (track_id, pos, line_no, raw, norm, char_start, char_end, is_adlib).
+
+    Section headers (lines in square brackets) and what scraped pages add are left out; `raw` stands at `char_start` up to `char_end` of
+    the text as it came. Words in round brackets are ad-libs, also over several lines: the depth before a token is a running sum that
+    never falls below zero, so a stray closing bracket changes nothing, and one that is never closed reaches to the end of the text.
+    Lines that are left out open and close nothing. `norm` is `alignment_form`; `pos` is dense per text. A null or empty text has no tokens.
+    """
+    src = spread(docs).select(F.col(id_col).alias("track_id"), F.split(F.regexp_replace(text_col, PAGE_END, ""), "\n").alias("__lines"))
+
+    def line(l, i):
+        gone = l.rlike(SECTION) | (F.lower(text.trim_ws(l)) == PAGE_INSERT) | ((i == 0) & l.rlike(PAGE_HEADER))
+        return F.struct(i.cast("long").alias("line_no"), gone.alias("gone"), F.concat(l, F.lit("\n")).alias("l"))
+
+    def pieces(s):
+        # each piece ends with one separator, so that lengths add up to places in the text
+        found = F.regexp_extract_all(s["l"], F.lit(r"[^ \t\r\n]*[ \t\r\n]"), F.lit(0))
+        return F.transform(found, lambda p: F.struct(s["line_no"].alias("line_no"), s["gone"].alias("gone"), p.alias("p")))
+
+    lines = src.select("track_id", F.transform("__lines", line).alias("__lines"))
+    rows = lines.select("track_id", F.posexplode(F.flatten(F.transform("__lines", pieces))).alias("__i", "__s"))
+    raw = text.rtrim_ws("__s.p")
+    rows = rows.select("track_id", "__i", "__s.line_no", F.length("__s.p").cast("long").alias("__n"), raw.alias("raw"), (~F.col("__s.gone") & (raw != "")).alias("__kept"))
+    brackets = lambda b: F.length("raw") - F.length(F.translate("raw", b, ""))
+    rows = rows.withColumn("__step", F.when(F.col("__kept"), brackets("(") - brackets(")")).otherwise(0).cast("long"))
+    sums = {"__end": ("sum", F.col("__n")), "__pos": ("sum", F.col("__kept").cast("long")), "__depth": ("sum", F.col("__step"))}
+    # The scans read their input more than once; storing it keeps texts from being cut up again.
+    rows = session.cut_lineage(blocks.scan(session.cut_lineage(rows), ["track_id"], ["__i"], sums, width=blocks.CHUNK).filter("__kept"))
+    rows = blocks.scan(rows, ["track_id"], ["__i"], {"__below": ("max_before", -F.col("__depth"))}, width=blocks.CHUNK)
+    before = F.col("__depth") - F.col("__step") + F.greatest(F.coalesce("__below", F.lit(0).cast("long")), F.lit(0).cast("long"))
+    start = F.col("__end") - F.col("__n")
+    return rows.select(
+        "track_id", (F.col("__pos") - 1).alias("pos"), "line_no", "raw", alignment_form(F.col("raw")).alias("norm"),
+        start.alias("char_start"), (start + F.length("raw")).alias("char_end"), ((before > 0) | F.col("raw").contains("(")).alias("is_adlib"),
+    )
+
+
+def alignable(tokens: DataFrame) -> DataFrame:
+    """The tokens of `normalize_reference` that can be spelled, as a reference for `align`: `token`, a dense `pos`, and `ref_pos`, the place among all."""
+    spelled = tokens.filter(F.col("norm") != STAR).withColumn("ref_pos", F.col("pos")).withColumn("token", F.col("norm"))
+    return blocks.dense_pos(spelled, ["track_id"], ["ref_pos"], width=blocks.CHUNK)
+
+
 def read_lexicon(spark: SparkSession, path: str, lang: str, tier: str = "exact") -> DataFrame:
     """A term list: one term per line; blank lines and lines that begin with # are skipped."""
     return lexicon_lines(spark.read.text(path), "value", lang, tier)
