@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexiline import fixed
+from lexiline import fixed, session
 from lexiline.functions import similarity, text
 from lexiline.operators import blocks
 
@@ -346,8 +346,8 @@ def flag_with_vocab(
     """Flag unflagged words that resemble their track's vocabulary; source `lyrics`.
 
     Words on the allow-list and words the reference text itself contains are left alone. `ref_text`
-    has (track_id, text). Similarity runs over distinct (word, term) pairs of the corpus whose
-    lengths permit the threshold, then meets the tracks again through equi joins.
+    has (track_id, text). Words meet the terms of their own track whose lengths permit the threshold, by
+    an equi join on both; the similarity of a pair that meets in several tracks is computed once.
     """
     own = words.filter(~F.coalesce("is_profanity", F.lit(False))).select("track_id", "word").distinct()
     if ref_text is not None:
@@ -356,29 +356,29 @@ def flag_with_vocab(
         own = own.withColumn("__lit", F.lower(F.regexp_replace("word", f"[^{text.W}']", "")))
         own = own.join(present, ["track_id", "__lit"], "left_anti").drop("__lit")
 
-    terms = vocab.select("term").distinct().withColumn("__need", vocab_threshold("term", base))
+    terms = vocab.select("track_id", "term").distinct().withColumn("__need", vocab_threshold("term", base))
+    own = own.join(terms.select("track_id").distinct(), "track_id", "left_semi").filter(~is_allowed("word", allowlist))
     if metric == "levenshtein":
         # The compared spellings' lengths give the reach of a term.
-        key_w, key_t = similarity.lev_key("word"), similarity.lev_key("term")
-        terms = terms.withColumn("__kt", key_t)
+        own = own.withColumn("__kw", similarity.lev_key("word")).withColumn("__len", F.length("__kw"))
+        terms = terms.withColumn("__kt", similarity.lev_key("term"))
         n = F.length("__kt")
         reach = F.sequence(F.ceil(n * F.col("__need") - 1e-9).cast("int"), F.floor(n / F.col("__need") + 1e-9).cast("int"))
-        dic = dictionary(words).filter(~is_allowed("word", allowlist)).withColumn("__kw", key_w).withColumn("__len", F.length("__kw"))
-        terms = terms.withColumn("__len", F.explode(reach))
-        near = dic.join(terms, "__len").filter(similarity.lev_similarity("__kw", "__kt") >= F.col("__need"))
+        met = own.join(terms.withColumn("__len", F.explode(reach)), ["track_id", "__len"])
+        hit = met.filter(similarity.lev_similarity("__kw", "__kt") >= F.col("__need"))
     else:
         # Any spelling of the word may be the similar one, so the reach is tested per spelling.
-        dic = dictionary(words).filter(~is_allowed("word", allowlist)).withColumn("__fw", text.lower_forms("word"))
-        dic = dic.withColumn("__len", F.explode(F.array_distinct(F.transform("__fw", F.length))))
-        terms = terms.withColumn("__ft", text.lower_forms("term"))
+        own = own.withColumn("__len", F.explode(F.array_distinct(F.transform(text.lower_forms("word"), F.length))))
+        lengths = F.transform(text.lower_forms("term"), F.length)
         r = F.col("__need")
-        lo = F.floor(F.array_min(F.transform("__ft", F.length)) * r / (2 - r)).cast("int")
-        hi = F.ceil(F.array_max(F.transform("__ft", F.length)) * (2 - r) / r).cast("int")
-        terms = terms.withColumn("__len", F.explode(F.sequence(lo, hi)))
-        pairs = dic.join(terms, "__len").select("word", "term", "__need", "__fw", "__ft").dropDuplicates(["word", "term"])
-        near = pairs.filter(similarity.similarity_udf(min(base, 0.75))("__fw", "__ft") >= F.col("__need"))
-    near = near.select("word", "term").distinct()
-    hit = own.join(near, "word").join(vocab, ["track_id", "term"], "left_semi").select("track_id", "word").distinct()
+        lo = F.floor(F.array_min(lengths) * r / (2 - r)).cast("int")
+        hi = F.ceil(F.array_max(lengths) * (2 - r) / r).cast("int")
+        met = own.join(terms.withColumn("__len", F.explode(F.sequence(lo, hi))), ["track_id", "__len"])
+        met = session.cut_lineage(met.select("track_id", "word", "term", "__need").distinct())
+        pairs = met.select("word", "term", "__need").distinct()
+        score = similarity.similarity_udf(min(base, 0.75))(text.lower_forms("word"), text.lower_forms("term"))
+        hit = met.join(pairs.filter(score >= F.col("__need")).select("word", "term"), ["word", "term"], "left_semi")
+    hit = hit.select("track_id", "word").distinct()
     marked = words.join(hit.withColumn("__v", F.lit(True)), ["track_id", "word"], "left")
     new = F.coalesce("__v", F.lit(False)) & ~F.coalesce("is_profanity", F.lit(False))
     return (
