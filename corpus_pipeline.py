@@ -70,7 +70,7 @@ STAGES = [
     ("bpe", tokenize),
 ]
 
-#: Training, the class search and the tokenizer are beyond SQL; the tests hold each stage against a brute-force version.
+#: Training, the class search and the tokenizer are beyond SQL; the tests hold the operator of each stage against brute force, one by one.
 ORACLE_SQL = None
 
 
