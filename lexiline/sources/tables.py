@@ -14,6 +14,10 @@ _RAW_WORDS = (
 )
 
 
+#: Rows of one JSON file of words: a compressed file is read by one task.
+FILE_ROWS = 1_000_000
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work when the input has fewer splits than the session has cores.
 
@@ -42,10 +46,10 @@ def read_words(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
 
 
 def write_words(words: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Persist a timeline. JSON output uses seconds, like the input format."""
+    """Persist a timeline. JSON output uses seconds, like the input format; its files are compressed and so short that many tasks can read them."""
     if fmt == "json":
         out = words.withColumn("start", F.col("start_ms") / 1000).withColumn("end", F.col("end_ms") / 1000)
-        out.drop("start_ms", "end_ms").write.mode(mode).json(path)
+        out.drop("start_ms", "end_ms").write.mode(mode).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).json(path)
     else:
         words.write.mode(mode).parquet(path)
 
