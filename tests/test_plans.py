@@ -24,3 +24,13 @@ def test_json_words_are_compressed_and_split(spark, words, tmp_path, monkeypatch
     cols = ["track_id", "pos", "word", "start_ms", "end_ms", "confidence", "is_profanity"]
     back = tables.read_words(spark, str(tmp_path / "w")).select(*cols)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, src.select(*cols).collect()))
+
+
+def test_templates_carry_only_what_they_read(spark, tmp_path):
+    docs = [(1, "a b a b a b a b a", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = h12(spark, str(tmp_path))
+    assert not re.search(r"Exchange.*\n.*(lang|language|end_ms)#", plan(out)) and "lang#" not in plan(out)
+    # Confidence rises with the place: of three parts of the five a, and of two of the four b, the last of each.
+    got = sorted(map(tuple, out.collect()))
+    assert [(g, p) for _, g, p, _ in got] == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)]
