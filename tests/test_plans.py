@@ -34,3 +34,11 @@ def test_templates_carry_only_what_they_read(spark, tmp_path):
     # Confidence rises with the place: of three parts of the five a, and of two of the four b, the last of each.
     got = sorted(map(tuple, out.collect()))
     assert [(g, p) for _, g, p, _ in got] == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)]
+
+
+def test_copies_of_a_time_join_carry_no_borders(spark):
+    l = spark.createDataFrame([(1, 7, 0, 12_000), (1, 8, 30_000, 20_000)], "track_id long, a long, s long, e long")
+    r = spark.createDataFrame([(1, 70, 11_000, 40_000), (1, 71, 12_001, 12_500)], "track_id long, b long, rs long, re long")
+    out = intervals.overlap_pairs(l, r, ("s", "e"), (F.col("rs"), F.col("re")))
+    assert "__llo" not in plan(out) and "__rlo" not in plan(out)
+    assert [tuple(x) for x in out.collect()] == [(1, 7, 0, 12_000, 70, 11_000, 40_000)]
