@@ -1,5 +1,8 @@
 """Reference text as tokens for alignment."""
 
+import random
+import re
+
 from lexiline.operators import align
 from lexiline.sources import tables
 
@@ -45,3 +48,24 @@ def test_alignment_skips_stars(spark, words):
     found = align.align(spoken, ref.select("track_id", "pos", "token")).collect()
     assert sorted((r.ref_pos, r.word_pos) for r in found) == [(i, i) for i in range(10)]
     assert places[2] == (3, "give") and places[9][1] == "down" and tables.STAR not in {t for _, t in places.values()}
+
+
+def test_texts_with_unlike_ids_are_cut_where_they_stand(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab()\n ", weights=(4, 4, 2, 2, 1, 4), k=rng.randint(0, 60))) for _ in range(80)]
+    tokens = _tokens(spark, *texts)
+    assert "Window" not in tokens._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for k, body in enumerate(texts):
+        depth, pos = 0, 0
+        for m in re.finditer(r"[^ \n]+", body):
+            want.append((k, pos, m.group(), m.start(), m.end(), depth > 0 or "(" in m.group()))
+            depth = max(0, depth + m.group().count("(") - m.group().count(")"))
+            pos += 1
+    assert sorted((r.track_id, r.pos, r.raw, r.char_start, r.char_end, r.is_adlib) for r in tokens.collect()) == want
+
+
+def test_texts_that_share_an_id_are_numbered_together(spark):
+    docs = spark.createDataFrame([(1, "a (b"), (1, "a (b"), (2, "c) d"), (None, "e")], "id long, body string")
+    got = sorted((r.track_id, r.pos, r.raw, r.is_adlib) for r in tables.normalize_reference(docs, "id", "body").collect())
+    assert got == [(1, 0, "a", False), (1, 1, "a", False), (1, 2, "(b", True), (1, 3, "(b", True), (2, 0, "c)", False), (2, 1, "d", False)]
