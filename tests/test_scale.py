@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from lexiline.operators import detect
+from pyspark.sql import functions as F
+
+from lexiline.operators import blocks, detect, patterns
 
 
 def _plan(df) -> list[str]:
@@ -36,3 +38,21 @@ def test_loose_match_counts_characters_that_the_longer_spelling_holds(spark):
     words = sorted({"".join(rng.choices("letao'-É", k=rng.randint(1, 8))) for _ in range(400)})
     rows = spark.createDataFrame([(w,) for w in words], "word string").select("word", detect.loose_match("word", "lette").alias("m"))
     assert {r.word: r.m for r in rows.collect()} == {w: slow(w, "lette") for w in words}
+
+
+def test_words_without_patterns_do_not_move(spark, monkeypatch):
+    moved = []
+    plain = blocks.neighbours
+    monkeypatch.setattr(blocks, "neighbours", lambda df, *a, **k: moved.append(df) or plain(df, *a, **k))
+    hook = "walk out of the trash".split()
+    rows = [(t, 10 * i + k, w, 4_000 * i + 400 * k, 4_000 * i + 400 * k + 300, w == "trash") for t in (1, 2) for i in range(3) for k, w in enumerate(hook + ["x"] * 5) if t == 1 or w != "of"]
+    words = spark.createDataFrame(rows, "track_id long, pos long, word string, start_ms long, end_ms long, is_profanity boolean").withColumn("language", F.lit("en"))
+    words = words.filter("track_id = 1").unionByName(words.filter("track_id = 2").withColumn("is_profanity", F.lit(False)))
+    mined = patterns.mine_prefix_patterns(words)
+    for few in (True, False):
+        monkeypatch.setattr(patterns, "FEW_PATTERNS", patterns.FEW_PATTERNS if few else 0)
+        sites = patterns.find_prefix_sites(words, mined)
+        assert sorted((r.track_id, r.run_from, r.run_to, r.m) for r in sites.collect()) == [(1, 10 * i, 10 * i + 3, 4) for i in range(3)]
+        assert {r.track_id for r in moved[-1].collect()} == ({1} if few else {1, 2})
+    assert mined.first().display == "trash" and all("language" not in df.columns for df in moved)
+    assert {(r.word, r.end_ms) for r in moved[0].filter("not is_profanity").collect()} == {(None, None)}
