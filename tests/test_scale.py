@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lexiline.functions import similarity, text
 from lexiline.operators import blocks, detect, patterns
 
 
@@ -56,3 +57,20 @@ def test_words_without_patterns_do_not_move(spark, monkeypatch):
         assert {r.track_id for r in moved[-1].collect()} == ({1} if few else {1, 2})
     assert mined.first().display == "trash" and all("language" not in df.columns for df in moved)
     assert {(r.word, r.end_ms) for r in moved[0].filter("not is_profanity").collect()} == {(None, None)}
+
+
+def test_pairs_are_scored_where_they_are_like_one_by_one(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeéßñIi'漢-!") for _ in range(rng.choice([1, 3, 6, 9])))
+    odd = [("a!\r\n", "a!"), ("b'\r", "b"), (None, "a"), ("a", None), ("", ""), ("!", "!"), ("ab" * 60, "ab" * 59 + "c"), ("Élan", "elan")]
+    words = [word() for _ in range(60)]
+    rows = odd + [(rng.choice(words), rng.choice(words)) for _ in range(3000)]
+    rows += [(w, w[:-1] + rng.choice("xé'")) for w in words]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for floor in (0.0, 0.5, 0.6):
+        scored = similarity.score_pairs(df, "a", "b", "ratcliff", floor)
+        assert not any(x in "\n".join(_plan(scored)) for x in ("Join", "Aggregate", "Repartition"))
+        forms = scored.select("a", "b", "sim", text.lower_forms("a").alias("x"), text.lower_forms("b").alias("y")).collect()
+        for r in forms:
+            same = r.a is not None and r.b is not None and r.a.lower() == r.b.lower()
+            assert r.sim == (1.0 if same else similarity.forms_similarity(r.x, r.y, floor)), r
