@@ -7,7 +7,8 @@ import random
 from pyspark.sql import functions as F
 
 from lexiline.functions import similarity, text
-from lexiline.operators import blocks, detect, patterns
+from lexiline.operators import blocks, detect, evidence, patterns
+from lexiline.sources import tables
 
 
 def _plan(df) -> list[str]:
@@ -74,3 +75,36 @@ def test_pairs_are_scored_where_they_are_like_one_by_one(spark):
         for r in forms:
             same = r.a is not None and r.b is not None and r.a.lower() == r.b.lower()
             assert r.sim == (1.0 if same else similarity.forms_similarity(r.x, r.y, floor)), r
+
+
+def _timed(spark):
+    words = spark.createDataFrame(
+        [(t, k, w, 4_000 * k, 4_000 * k + 300, 0.4, w == "trash", None) for t, said in ((1, "hello wurld of trash again".split()), (2, ["hello"])) for k, w in enumerate(said)],
+        "track_id long, word_id long, word string, start_ms long, end_ms long, confidence double, is_profanity boolean, detection_source string",
+    )
+    lines = [(t, n, 4_000 * n, text) for t in (1, 2) for n, text in enumerate(("hello world", "world world", "one two three", "stupid trash trash"))]
+    return words, spark.createDataFrame(lines, "track_id long, line_no long, time_ms long, text string")
+
+
+def test_lines_are_sorted_out_before_their_words_move(spark):
+    words, lines = _timed(spark)
+    lexicon = tables.lexicon_of(spark, [("trash", "en", "exact"), ("stupid", "en", "exact")])
+    gaps = evidence.gap_words_timed(words, lines, None, "levenshtein")
+    terms = evidence.injected_timed_terms(words, lines, lexicon, "levenshtein", allowlist=(), tiers=("exact",))
+    for plan in (_plan(gaps), _plan(terms)):
+        assert _line(plan, "Generate posexplode") < _line(plan, "__first")
+    # Track 2 would get more than twice as many words as it has.
+    assert sorted((r.track_id, r.line_no, r.word) for r in gaps.collect()) == [(1, 2, "one"), (1, 2, "three"), (1, 2, "two"), (1, 3, "stupid"), (1, 3, "trash"), (1, 3, "trash")]
+    assert sorted((r.track_id, r.line_no, r.word_no) for r in terms.collect()) == [(1, 3, 1), (1, 3, 2)]
+
+
+def test_matches_move_without_the_words_and_only_flagged_ones_again(spark):
+    words, lines = _timed(spark)
+    lexicon = tables.lexicon_of(spark, [("world", "en", "exact")])
+    ref = evidence.estimate_line_words(lines)
+    exchanges = [l for l in evidence.best_match_in_window(words, ref, "levenshtein")._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in l]
+    assert "w_word" not in exchanges[0] and "__wn" in exchanges[0]
+    out = evidence.correct_words(words, ref, lexicon, "levenshtein", allowlist=(), tiers=("exact",))
+    assert sum("ref_word" in l and "Join LeftOuter" in l for l in _plan(out)) == 0
+    got = {(r.track_id, r.word_id): (r.word, r.original_word, r.matched_ref) for r in out.collect()}
+    assert got[1, 1] == ("world", "wurld", True) and got[2, 0] == ("hello", None, True) and len(got) == 6
