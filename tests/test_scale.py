@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexiline.functions import similarity, text
-from lexiline.operators import blocks, detect, evidence, patterns
+from lexiline.operators import blocks, detect, evidence, intervals, patterns
 from lexiline.sources import tables
 
 
@@ -108,3 +108,19 @@ def test_matches_move_without_the_words_and_only_flagged_ones_again(spark):
     assert sum("ref_word" in l and "Join LeftOuter" in l for l in _plan(out)) == 0
     got = {(r.track_id, r.word_id): (r.word, r.original_word, r.matched_ref) for r in out.collect()}
     assert got[1, 1] == ("world", "wurld", True) and got[2, 0] == ("hello", None, True) and len(got) == 6
+
+
+def test_instances_are_found_once_and_slots_look_at_tracks_with_sites(spark, monkeypatch):
+    seen = []
+    plain = intervals.slot_occupants
+    monkeypatch.setattr(intervals, "slot_occupants", lambda s, w, *a: seen.append(w) or plain(s, w, *a))
+    said = "walk out of the trash".split() + ["x"] * 5
+    rows = [(t, 10 * i + k, f"{w}{'' if t == 1 else i}", 4_000 * i + 400 * k, 4_000 * i + 400 * k + 300, w == "trash") for t in (1, 2) for i in range(3) for k, w in enumerate(said)]
+    words = spark.createDataFrame(rows, "track_id long, pos long, word string, start_ms long, end_ms long, is_profanity boolean")
+    mined = patterns.mine_prefix_patterns(words)
+    assert not any("Window" in l for l in _plan(mined))
+    for few in (True, False):
+        monkeypatch.setattr(patterns, "FEW_PATTERNS", 1_000_000 if few else 0)
+        out = patterns.classify_sites(words, mined, "levenshtein")
+        assert [(r.track_id, r.run_from, r.state) for r in out.orderBy("run_from").collect()] == [(1, 10 * i, "completed") for i in range(3)]
+        assert {r.track_id for r in seen[-1].collect()} == ({1} if few else {1, 2})
