@@ -124,3 +124,19 @@ def test_instances_are_found_once_and_slots_look_at_tracks_with_sites(spark, mon
         out = patterns.classify_sites(words, mined, "levenshtein")
         assert [(r.track_id, r.run_from, r.state) for r in out.orderBy("run_from").collect()] == [(1, 10 * i, "completed") for i in range(3)]
         assert {r.track_id for r in seen[-1].collect()} == ({1} if few else {1, 2})
+
+
+def test_a_quantile_moves_the_bins_around_its_rank_only(spark, monkeypatch):
+    moved = []
+    plain = blocks.possible
+    monkeypatch.setattr(blocks, "possible", lambda *a: moved.append(plain(*a)) or moved[-1])
+    rng = random.Random(9)
+    rows = [(k, rng.choice([round(rng.uniform(-1, 1), 3), 0.5])) for k in ("a", "b", None) for _ in range(500)] + [("c", None), ("d", 0.25)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {}
+    for few in (True, False):
+        monkeypatch.setattr(blocks, "FEW_BINS", 1_000_000 if few else 0)
+        got[few] = {r.k: r["quantile"] for r in blocks.exact_quantile(df, ["k"], "v", 0.95, 0.01).collect()}
+    assert got[True] == got[False] and set(got[True]) == {"a", "b", "d"}
+    assert got[True]["d"] == 0.25
+    assert moved[0].count() < 100 and moved[1].count() == 1501
