@@ -140,3 +140,16 @@ def test_a_quantile_moves_the_bins_around_its_rank_only(spark, monkeypatch):
     assert got[True] == got[False] and set(got[True]) == {"a", "b", "d"}
     assert got[True]["d"] == 0.25
     assert moved[0].count() < 100 and moved[1].count() == 1501
+
+
+def test_words_that_are_not_listed_do_not_move_to_the_list(spark, monkeypatch):
+    words, lines = _timed(spark)
+    lexicon = tables.lexicon_of(spark, [("trash", "en", "exact"), ("stupid", "en", "exact")])
+    moved = []
+    plain = blocks.possible
+    monkeypatch.setattr(blocks, "possible", lambda *a: moved.append(plain(*a)) or moved[-1])
+    for few in (True, False):
+        monkeypatch.setattr(evidence, "FEW_HITS", 1_000_000 if few else 0)
+        terms = evidence.injected_timed_terms(words, lines, lexicon, "levenshtein", allowlist=(), tiers=("exact",))
+        assert sorted((r.track_id, r.line_no, r.word_no) for r in terms.collect()) == [(1, 3, 1), (1, 3, 2)]
+        assert {r.raw for r in moved[-1].collect()} == ({"trash", "stupid"} if few else {"hello", "world", "one", "two", "three", "trash", "stupid"})
